@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat_format, packing, token_counts
+from tributary.llm import chat_format, html_extract, packing, quality_rules, token_counts
 from tributary.llm.tokens import default_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -38,11 +38,21 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_records(records, "conv_id", "turn", "record"), "conv_id")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_chat_formatting": op6_chat_formatting,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
