@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.llm.common import cut
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -267,11 +269,8 @@ def neighbours(sig: DataFrame) -> DataFrame:
     The order is by range, so a host with most pages spreads over many tasks; the
     rows at range borders meet through a table of two rows for each range.
     """
-    spark = sig.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "spark-checkpoints"))
     order = ("host", "path", "id", "rowkey")
-    ranged = sig.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = cut(sig.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy(*order)
     mate = F.struct("host", "marks")
     near = ranged.withColumn("before", F.lag(mate).over(w)).withColumn("after", F.lead(mate).over(w))
@@ -293,11 +292,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sig = parsed.select("id", "rowkey", host.alias("host"), path.alias("path"), "marks", "zones").dropDuplicates(["rowkey"])
 
     @F.pandas_udf("array<int>")
-    def cut(own: pd.Series, zones: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    def gone(own: pd.Series, zones: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         rows = zip(own, zones, before, after)
         return pd.Series([deleted(list(o), z, [list(x) for x in (a, b) if x is not None]) for o, z, a, b in rows])
 
-    cuts = neighbours(sig).select("rowkey", cut("marks", "zones", "before", "after").alias("gone"))
+    cuts = neighbours(sig).select("rowkey", gone("marks", "zones", "before", "after").alias("gone"))
     joined = parsed.drop("marks").join(cuts, "rowkey", "left")
     zone = F.when(F.col("zones").contains("m"), "m").otherwise("o")
     kept = F.filter(

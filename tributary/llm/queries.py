@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat_format, html_extract, packing, quality_rules, token_counts
+from tributary.llm import chat_format, html_extract, mixing, packing, quality_rules, token_counts
 from tributary.llm.tokens import default_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, entropy_share=0.97, max_repeats=1.5).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path(), seq_len=1024)
 
@@ -48,6 +53,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_chat_formatting": op6_chat_formatting,
