@@ -23,7 +23,7 @@ from tributary.llm.common import cut
 #: White-space tokens; any other count can be passed in its place.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bisection steps, five in each pass over the source table: its 31 inner points are the midpoints of five levels.
-PASSES, POINTS = 8, 32
+PASSES, POINTS = 6, 32
 ADDED = ("mix_weight", "mix_tokens", "mix_epoch", "mix_block", "mix_pos")
 
 
