@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat_format, html_extract, line_dedup, mixing, packing, quality_rules, token_counts
+from tributary.llm import chat_format, html_extract, jaccard_join, line_dedup, mixing, packing, quality_rules, token_counts
 from tributary.llm.tokens import default_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -21,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"), similarity=0.8, min_words=5)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, recall=0.995)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, entropy_share=0.97, max_repeats=1.5).drop("text")
@@ -58,6 +62,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
