@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat_format, html_extract, jaccard_join, line_dedup, mixing, packing, quality_rules, token_counts
+from tributary.llm import chat_format, html_extract, jaccard_join, line_dedup, lm_score, mixing, packing, quality_rules, token_counts
 from tributary.llm.tokens import default_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -55,6 +55,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_chat_formatting": op6_chat_formatting,
         "op8_quality_rules": op8_quality_rules,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_html_extraction": op10_html_extraction,
     }
 
