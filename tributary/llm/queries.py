@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat_format, html_extract, jaccard_join, line_dedup, lm_score, mixing, packing, quality_rules, token_counts
+from tributary.llm import chat_format, fingerprints, html_extract, jaccard_join, line_dedup, lm_score, mixing, packing, quality_rules, token_counts
 from tributary.llm.tokens import default_path
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +51,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_records(records, "conv_id", "turn", "record"), "conv_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), default_path("piece_bpe_32k.model"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_fingerprints": op7_fingerprints,
         "op8_quality_rules": op8_quality_rules,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html_extraction": op10_html_extraction,
