@@ -35,7 +35,7 @@ def with_paragraphs(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Adds for each text column (texts: to new name) the sorted distinct digests of its paragraphs."""
     for text, out in texts.items():
         power = lambda least, part, t=text: F.expr(f"cast(pow(2.0D, greatest({least}, ceil(log2(greatest(char_length({t}), 1) / {part}.0D)))) as int)")
-        df = df.withColumn("__size", power(4, 16)).withColumn("__group", power(0, 8192))
+        df = df.withColumn("__size", power(2, 16)).withColumn("__group", power(0, 8192))
         marked = f"array_join(transform(split({text}, '\n'), l -> if(__group > 1 and pmod(xxhash64(l), __group) <> 0, concat(l, '\n'), concat(l, char(2)))), '')"
         pieces = "flatten(transform(split(__marked, char(2)), x -> if(char_length(x) <= __size, array(x), transform(sequence(0, cast((char_length(x) - 1) div __size as int)), i -> substring(x, i * __size + 1, __size)))))"
         df = df.withColumn("__marked", F.expr(marked)).withColumn(out, F.expr(f"sort_array(array_distinct(transform(filter({pieces}, x -> x <> ''), x -> xxhash64(x))))"))
