@@ -156,9 +156,9 @@ def claim(df: DataFrame, violates: Column, key: str = "_key") -> DataFrame:
 
 
 def unique_violations(rows: DataFrame, columns: list[str], key: str = "_key") -> DataFrame:
-    """Values that several keys hold, with their number and first key. A row with a missing column is exempt."""
+    """Values that several keys hold, with their number (_holders) and first key (_first). A row with a missing column is exempt."""
     whole = rows.where(" and ".join(f"`{c}` is not null" for c in columns))
-    return whole.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).where("n > 1")
+    return whole.groupBy(*columns).agg(F.count("*").alias("_holders"), F.min(key).alias("_first")).where("_holders > 1")
 
 
 def lifecycle(held: DataFrame, decisions: DataFrame, now_ms: int) -> DataFrame:

@@ -485,7 +485,7 @@ def claim_first_violation(spark, d):
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def unique_violations(spark, d):
     rows = keyed(spark, d, "lineitem")
-    return safety.unique_violations(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n")
+    return safety.unique_violations(rows, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("_holders").alias("n"))
 
 
 @query("WITH c AS (SELECT event_id AS id, CAST(event_id AS VARCHAR) AS h, CASE WHEN event_id = 0 THEN 'start' WHEN event_id % 997 = 0 THEN 'lost' ELSE CAST(event_id - 1 AS VARCHAR) END AS p FROM events) SELECT id FROM c WHERE p <> 'start' AND NOT EXISTS (SELECT 1 FROM c x WHERE x.h = c.p)")
