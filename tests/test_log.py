@@ -91,6 +91,17 @@ def test_schema_changes_erase_what_was_before_them(spark):
     assert [(r[0], r[1]) for r in keys.select(folds.table_of(F.col("key")), folds.pk_of(F.col("key"))).collect()] == [("a", "b:c"), (None, None), (None, None), (None, None)]
 
 
+def test_schema_fold():
+    field = {"name": "x", "type": "Int"}
+    changes = [
+        {"change": "add_table", "table": "t", "fields": [field]}, {"change": "add_column", "table": "t", "column": "y", "type": "Text"}, {"change": "alter_column_type", "table": "t", "column": "x", "to_type": "Float"},
+        {"change": "rename_column", "table": "t", "column": "y", "to": "z"}, {"change": "set_nullable", "table": "t", "column": "z", "nullable": False}, {"change": "set_crdt", "table": "t", "column": "x", "kind": "counter"},
+        {"change": "add_index", "table": "t", "index": "i", "columns": ["x"]}, {"change": "drop_index", "table": "t", "index": "i"}, {"change": "add_column", "table": "nowhere", "column": "q", "type": "Int"},
+    ]
+    assert folds.fold_schema(changes) == {"t": {"x": {"type": "Float", "nullable": True, "crdt": "counter"}, "z": {"type": "Text", "nullable": False, "crdt": None}, "#indexes": {}}}
+    assert folds.fold_schema([*changes, {"change": "drop_column", "table": "t", "column": "x"}, {"change": "drop_table", "table": "t"}]) == {}
+
+
 def test_convergent_types(spark):
     ops = spark.createDataFrame([("c", 0, 5, 1), ("c", 0, -2, 2), ("c", 1, 7, 3)], "key string, replica long, amount long, seq long")
     whole = crdt.counter_state(ops)

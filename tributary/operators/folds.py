@@ -157,3 +157,44 @@ def rename_columns(fields: DataFrame, renames: DataFrame) -> DataFrame:
     on = (table_of(F.col("key")) == F.col("__t")) & (F.col("column") == F.col("old")) & (F.col("seq") < F.col("rename_seq"))
     moved = fields.join(r, on, "left").groupBy(*fields.columns).agg(F.min_by("new", "rename_seq").alias("__new"))
     return moved.withColumn("column", F.coalesce("__new", "column")).drop("__new")
+
+
+def fold_schema(changes: list[dict]) -> dict[str, dict[str, dict]]:
+    """Declared tables after schema changes in order: {table: {column: {type, nullable, crdt}}}. Schema changes are few and live on the driver.
+
+    Indexes are recorded under ``#indexes``; changes of unknown tables declare nothing.
+    """
+    tables: dict[str, dict[str, dict]] = {}
+    for c in changes:
+        t, what, column = c["table"], c["change"], c.get("column")
+        if what == "add_table":
+            tables[t] = {f["name"]: {"type": f["type"], "nullable": f.get("nullable", True), "crdt": f.get("crdt")} for f in c.get("fields", [])}
+            continue
+        if t not in tables:
+            continue
+        if what == "drop_table":
+            del tables[t]
+        elif what == "add_column":
+            tables[t][column] = {"type": c["type"], "nullable": c.get("nullable", True), "crdt": c.get("crdt")}
+        elif what == "drop_column":
+            tables[t].pop(column, None)
+        elif what == "rename_column":
+            tables[t] = {c["to"] if k == column else k: v for k, v in tables[t].items()}
+        elif what in ("add_index", "drop_index"):
+            names = tables[t].setdefault("#indexes", {})
+            names.update({c["index"]: c.get("columns")}) if what == "add_index" else names.pop(c["index"], None)
+        elif column in tables[t]:
+            field = {"alter_column_type": "type", "set_nullable": "nullable", "set_crdt": "crdt"}[what]
+            tables[t][column] = tables[t][column] | {field: c[{"type": "to_type", "nullable": "nullable", "crdt": "kind"}[field]]}
+    return tables
+
+
+def type_violations(fields: DataFrame, declared: DataFrame) -> DataFrame:
+    """Written fields whose kind is neither the declared type nor null: (key, column, kind, type).
+
+    fields: key, column, kind; declared: table, column, type, as few as columns are.
+    Undeclared columns may hold anything.
+    """
+    d = F.broadcast(declared.select(F.col("table").alias("__t"), F.col("column").alias("__c"), "type"))
+    joined = fields.join(d, (table_of(F.col("key")) == F.col("__t")) & (F.col("column") == F.col("__c")))
+    return joined.where((F.col("kind") != F.col("type")) & (F.col("kind") != "Null")).select("key", "column", "kind", "type")

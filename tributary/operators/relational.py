@@ -64,3 +64,8 @@ def aggregate(df: DataFrame, group_by: list[str], aggregates: list[Aggregate], h
 
 def missing(column: str) -> Predicate:
     return is_null(column)
+
+
+def preview(df: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """The first n rows in key order and whether there are more; reads n + 1."""
+    return page(df, n), page(df, n + 1).count() > n

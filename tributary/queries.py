@@ -451,7 +451,7 @@ def replay_decisions(spark, d):
     return safety.replay(safety.classify(_changes(spark, d), safety.DEVELOPMENT), safety.PROTECTED)
 
 
-BREAKER = safety.Policy(rows=0, shadow=0, ceiling=1_500, window_ms=600_000)
+BREAKER = safety.Policy(rows=0, shadow=0, ceiling=300, window_ms=600_000)
 
 
 def _writes(spark, d) -> DataFrame:
@@ -465,7 +465,7 @@ def _writes(spark, d) -> DataFrame:
     "WITH w AS (SELECT event_type AS scope, event_id AS id, (epoch_us(ts) // 1000) AS at_ms, CAST(FLOOR(value) AS BIGINT) AS n FROM events), "
     "r AS (SELECT *, SUM(n) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) AS run FROM w), "
     "g AS (SELECT *, run - COALESCE(MAX(run) OVER (PARTITION BY scope ORDER BY at_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 600000 PRECEDING), 0) AS win FROM r) "
-    "SELECT scope, id, CAST(win AS BIGINT) AS window_rows, MAX(CASE WHEN win > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) = 1 AS tripped FROM g"
+    "SELECT scope, id, CAST(win AS BIGINT) AS window_rows, MAX(CASE WHEN win > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) = 1 AS tripped FROM g"
 )
 def breaker_rolling(spark, d):
     return safety.breaker(_writes(spark, d), BREAKER).select("scope", "id", "window_rows", "tripped")
@@ -545,3 +545,62 @@ def read_floor(spark, d):
 def audit_review(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("value").alias("risk"), F.col("ts").alias("timestamp_ms"))
     return inspect.review(e, 50, 40).select("id", "risk")
+
+
+@query(f"{LOG_SQL} {FOLD_SQL.format(t='log')}")
+def fold_from_snapshot(spark, d):
+    log = events_log(spark, d)
+    half = folds.fold(log, 5000).withColumn("seq", F.col("version"))
+    return folds.from_snapshot(half, log.where("seq > 5000"))
+
+
+@query(
+    "WITH w AS (SELECT event_type AS scope, event_id AS id, (epoch_us(ts) // 1000) AS at_ms, CAST(FLOOR(value) AS BIGINT) AS n FROM events), "
+    "r AS (SELECT *, SUM(n) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) AS run FROM w), "
+    "g AS (SELECT *, run - COALESCE(MAX(run) OVER (PARTITION BY scope ORDER BY at_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 600000 PRECEDING), 0) AS win FROM r) "
+    "SELECT scope, arg_min(id, (at_ms, id)) AS id FROM g WHERE win > 300 GROUP BY scope"
+)
+def breaker_trips(spark, d):
+    return safety.trips(_writes(spark, d), BREAKER).select("scope", F.col("seq.i").alias("id"))
+
+
+@query("SELECT 't' || (user_id % 20) AS \"table\", MAX(event_id) FILTER (event_type IN ('signup', 'click')) AS declared_seq, BOOL_OR(event_id % 5 = 0) AS touched_by_agent, COUNT(*) AS changes FROM events GROUP BY 1")
+def schema_provenance(spark, d):
+    change = F.when(F.col("event_type") == "signup", "add_table").when(F.col("event_type") == "click", "add_column").otherwise("set_nullable")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("t"), F.col("user_id") % 20).alias("table"), F.lit(None).cast("string").alias("column"), change.alias("change"),
+        F.when(F.col("event_id") % 5 == 0, "agent").otherwise("human").alias("author_kind"), F.col("user_id").cast("string").alias("session_id"),
+    )
+    return inspect.schema_provenance(rows).select("table", "declared_seq", "touched_by_agent", "changes")
+
+
+@query(f"{LOG_SQL}, b AS ({FOLD_SQL.format(t='(SELECT * FROM log WHERE seq <= 9000)')}), a AS ({FOLD_SQL.format(t='log')}), x AS ({DIFF_SQL}) SELECT 'u' AS \"table\", COUNT(*) FILTER (change = 'added') AS added, COUNT(*) FILTER (change = 'changed') AS changed, COUNT(*) FILTER (change = 'removed') AS removed, FALSE AS expected FROM x")
+def shadow_findings(spark, d):
+    log = events_log(spark, d)
+    return merge.shadow_findings(folds.fold(log, 9000), folds.fold(log), "orders")
+
+
+@query("SELECT event_type AS region FROM events GROUP BY 1 HAVING epoch_us(MAX(ts)) // 1000 + 900000 < 1706700000000")
+def lagging_regions(spark, d):
+    regions = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("region")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("merged_ms"))
+    return inspect.lagging(regions, 1_706_700_000_000).select("region")
+
+
+@query("SELECT o_orderkey * 10 - 10 AS gap_from, o_orderkey * 10 - 1 AS gap_to FROM orders o WHERE o_orderkey > (SELECT MIN(o_orderkey) FROM orders) + 1 AND (o_orderkey - 1) % 7 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey <= 700 ORDER BY 1")
+def archive_gaps(spark, d):
+    """Segments of ten entries for each order key up to 700, those of every seventh lost."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 700 and o_orderkey % 7 <> 0")
+    return migration.manifest_gaps(o.select((F.col("o_orderkey") * 10).alias("first_seq"), (F.col("o_orderkey") * 10 + 9).alias("last_seq")))
+
+
+@query("SELECT 't:' || event_id AS key, 'value' AS \"column\", CASE WHEN event_type = 'view' THEN 'Text' ELSE 'Float' END AS kind, 'Int' AS type FROM events WHERE event_type IN ('view', 'click')")
+def type_violations(spark, d):
+    kind = F.when(F.col("event_type") == "view", "Text").when(F.col("event_type") == "click", "Float").when(F.col("event_type") == "error", "Null").otherwise("Int")
+    fields = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("t:"), "event_id").alias("key"), F.lit("value").alias("column"), kind.alias("kind"))
+    return folds.type_violations(fields, spark.createDataFrame([("t", "value", "Int")], "table string, column string, type string"))
+
+
+@query("SELECT event_type AS \"column\", COUNT(*) AS bad FROM events WHERE event_id % 5 = 0 AND event_type = 'view' GROUP BY 1")
+def unparseable_cells(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.when((F.col("event_id") % 5 == 0) & (F.col("event_type") == "view"), "x").otherwise(F.col("event_id").cast("string")).alias("view"))
+    return migration.unparseable(e, {"view": "Int"}).select("column", "bad")

@@ -103,3 +103,16 @@ class LogStore:
         seq = self.manifest()[-1]["seq"]
         folds.fold(log).withColumn("seq", F.lit(seq)).write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
         return f"{self.root}/snapshots/{name}"
+
+    def land(self, apply: DataFrame, converge: list[dict[str, Any]], author: str, now_ms: int, branch: int = 0) -> int:
+        """Lands a merge: its assignments in one bulk commit, converged values logged beside them so that a replay has them, then a marker."""
+        puts = apply.select(F.when(F.col("s_value").isNull(), "delete").otherwise("put").alias("op"), "key", F.col("s_value").alias("value"))
+        self.append_bulk(puts, author, now_ms, branch)
+        return self.append([*converge, {"op": "merge", "key": "#merge"}], author, now_ms, branch)
+
+    def status(self) -> dict[str, Any]:
+        """Commits, rows and last seq; None before the first commit, which is not zero."""
+        known = self.manifest()
+        if not known:
+            return {"commits": None, "rows": None, "last_seq": None}
+        return {"commits": len(known), "rows": self.read().count(), "last_seq": known[-1]["seq"]}
