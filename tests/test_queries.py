@@ -11,7 +11,7 @@ from tributary.operators import joins
 from tributary.plans.query import Param, Query, from_dict, table
 from tributary.sources.catalog import Catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
