@@ -1,12 +1,16 @@
 import math
+import os
 from collections import Counter
 
+import pandas as pd
+import pytest
 import sentencepiece
 
 from tributary.llm import quality_rules as Q
 from tributary.llm.tokens import default_path
 
 PATH = default_path("piece_bpe_32k.model")
+DATA = "/root/testdata/sf0.1"
 
 
 def brute(text):
@@ -43,3 +47,14 @@ def test_filter_keeps_what_the_columns_say(docs):
 
 def test_scripts():
     assert [Q.script(t) for t in ("abc é", "мир", "漢字", "", "123", "ελ", "אב")] == ["LATIN", "CYRILLIC", "HAN", "LATIN", "LATIN", "GREEK", "OTHER"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_bands_reject_held_out_junk():
+    labels = pd.read_parquet(f"{DATA}/labels.parquet")
+    rows = pd.read_parquet(f"{DATA}/documents.parquet").merge(labels[labels.doc_id % 2 == 1], on="doc_id")  # the bands are fitted to even ids
+    out = pd.DataFrame(Q.measure(list(rows["text"]), list(rows["lang"]), PATH))
+    judged = rows["quality"].where(~out["base_failed"])
+    junk, clean = out["kept"][judged == 0], out["kept"][judged == 1]
+    assert len(junk) > 100 and junk.mean() <= 0.01
+    assert len(clean) > 1000 and clean.mean() >= 0.99

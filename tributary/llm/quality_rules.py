@@ -1,9 +1,15 @@
 """Quality rules from tokeniser fertility (operator 8).
 
 A public vocabulary with byte fallback encodes every distinct word of a batch
-once. A text's characters per token, share of byte-fallback tokens and token
-entropy must lie in the bands of its language or, where the language has none,
-of its script. Base rules on words, repeats and length come first.
+once. A text's characters per token, tokens per word, share of byte-fallback
+tokens and token entropy must lie in the bands of its language or, where the
+language has none, of its script. Base rules on words, repeats and length come first.
+
+The bands of a language are two-sided and fitted (``fit``) to the labelled clean
+documents of even id: the extremes of those rows, widened on each side by MARGIN of
+their range. Entropy is compared with what clean texts of as many tokens have. The
+labels have no clean text with byte-fallback tokens, so the limit of their share
+and the bands of scripts are not fitted, but fixed and wide.
 
 Defined cases: a null text has no words; texts without words fail the base rules;
 null and unknown languages use the bands of the script that most letters are in;
@@ -29,19 +35,38 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of a clean text; entropy is in bits a token, relative to the most that its length allows (log2 of the tokens, at most 9)."""
+    """Limits of a clean text of a script; entropy is in bits a token, relative to the most that its length allows (log2 of the tokens, at most 9)."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: float
 
 
-#: By language code, then by script. Wide: a clean text of the language lies well inside.
+@dataclass(frozen=True)
+class Fitted:
+    """Limits of a clean text of a language; entropy is in bits a token, less ``expected`` of its length."""
+
+    chars_per_token: tuple[float, float]
+    tokens_per_word: tuple[float, float]
+    byte_share: float
+    entropy: tuple[float, float]
+    #: Powers 2, 1 and 0 of log2 of the tokens, and the range of log2 that was fitted.
+    curve: tuple[float, float, float]
+    span: tuple[float, float]
+
+    def expected(self, n_tokens: int) -> float:
+        x = min(max(float(np.log2(max(n_tokens, 1))), self.span[0]), self.span[1])
+        return (self.curve[0] * x + self.curve[1]) * x + self.curve[2]
+
+
+#: Part of the clean rows' range by which a fitted limit lies beyond their extreme.
+MARGIN = 0.10
+#: By language code, as ``fit`` finds them, then by script, wide.
 BANDS = {
-    "en": Band((1.35, 8.0), 0.10, 0.65),
-    "de": Band((1.35, 8.0), 0.10, 0.65),
-    "fr": Band((1.25, 8.0), 0.10, 0.65),
-    "es": Band((1.35, 8.0), 0.10, 0.65),
+    "en": Fitted((1.793, 2.484), (1.785, 2.863), 0.10, (-0.342, 0.34), (-0.03782, 0.9245, 1.28871), (6.71, 13.3)),
+    "de": Fitted((2.01, 2.47), (2.1, 3.149), 0.10, (-0.313, 0.593), (-0.02868, 0.71482, 2.29022), (7.02, 13.48)),
+    "fr": Fitted((1.673, 2.205), (2.18, 3.637), 0.10, (-0.308, 0.654), (-0.02912, 0.71491, 2.27331), (7.01, 13.6)),
+    "es": Fitted((1.773, 2.105), (2.154, 3.052), 0.10, (-0.371, 0.733), (-0.03962, 0.94454, 1.15423), (7.1, 12.83)),
     "LATIN": Band((1.15, 9.0), 0.20, 0.50),
     "CYRILLIC": Band((1.0, 9.0), 0.30, 0.40),
     "GREEK": Band((0.7, 9.0), 0.50, 0.40),
@@ -50,6 +75,23 @@ BANDS = {
 }
 
 
+def fit(measured: pd.DataFrame, byte_share: float = 0.10) -> Fitted:
+    """The bands of a language from the columns of COLUMNS of its clean documents."""
+    rows = measured[~measured["base_failed"]]
+    tokens = rows["word_chars"] / rows["chars_per_token"]
+    x = np.log2(tokens)
+    curve = np.polyfit(x, rows["token_entropy"], 2)
+
+    def limits(v: pd.Series) -> tuple[float, float]:
+        wide = MARGIN * (v.max() - v.min())
+        return round(float(v.min() - wide), 3), round(float(v.max() + wide), 3)
+
+    return Fitted(
+        limits(rows["chars_per_token"]), limits(tokens / rows["n_words"]), byte_share, limits(rows["token_entropy"] - np.polyval(curve, x)),
+        tuple(round(float(c), 5) for c in curve), (round(float(x.min()), 2), round(float(x.max()), 2)),
+    )
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str):
     import sentencepiece
@@ -85,14 +127,19 @@ def repeated_words(codes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def verdict(lang: str | None, text: str, n_tokens: int, word_chars: int, n_bytes: int, entropy: float) -> bool:
+def verdict(lang: str | None, text: str, n_words: int, n_tokens: int, word_chars: int, n_bytes: int, entropy: float) -> bool:
     band = BANDS.get(lang) if isinstance(lang, str) else None
     band = band or BANDS[script(text)]
     if not n_tokens:
         return False
     low, high = band.chars_per_token
-    most = min(9.0, np.log2(n_tokens)) if n_tokens > 1 else 1.0
-    return bool(low <= word_chars / n_tokens <= high and n_bytes / n_tokens <= band.byte_share and entropy / most >= band.entropy)
+    if not (low <= word_chars / n_tokens <= high and n_bytes / n_tokens <= band.byte_share):
+        return False
+    if isinstance(band, Band):
+        most = min(9.0, np.log2(n_tokens)) if n_tokens > 1 else 1.0
+        return bool(entropy / most >= band.entropy)
+    (few, many), (low, high) = band.tokens_per_word, band.entropy
+    return bool(few <= n_tokens / n_words <= many and low <= entropy - band.expected(n_tokens) <= high)
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, token_entropy double"
@@ -135,7 +182,7 @@ def _measure(texts: list[str], langs: list[str | None], path: str) -> dict[str,
         lines = [x for x in text.split("\n") if WORD.search(x)]
         repeat = repeated_words(own)
         failed = n < 50 or 100 * repeat > 50 * n
-        row = (n, n_chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, not failed and verdict(lang, text, tokens, n_chars, n_bytes, entropy), n_chars / tokens if tokens else 0.0, n_bytes / tokens if tokens else 0.0, entropy)
+        row = (n, n_chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, not failed and verdict(lang, text, n, tokens, n_chars, n_bytes, entropy), n_chars / tokens if tokens else 0.0, n_bytes / tokens if tokens else 0.0, entropy)
         for k, v in zip(out, row):
             out[k].append(v)
     return out
