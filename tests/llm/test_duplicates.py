@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import jaccard_join, line_dedup
 from tributary.llm.components import components
@@ -101,6 +102,34 @@ def test_line_classes_equal_brute_force(docs, corpus, no_docs):
     assert line_dedup.line_classes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("small", [64, 4])
+def test_all_lines_of_a_bucket_meet(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small, raising=False)
+    rng = np.random.default_rng(4)
+    base = [f"c{i}{i * 7919 % 1000}" for i in range(30)]
+    rows = []
+    for g in range(40):  # texts with one passage in common, two or three near copies of each
+        own = base + [f"g{g}x{k}" for k in range(14)]
+        for c in range(2 + g % 2):
+            line = list(own)
+            line[int(rng.integers(44))] = f"e{g}y{c}"
+            rows.append((len(rows), " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = line_dedup.exploded(df, "doc_id", "text", 5)
+    keys = {r["key"]: r["id"] for r in lines.collect()}
+    buckets = defaultdict(set)
+    for r in line_dedup.banded(lines.select("key", F.sort_array(line_dedup.shingles()).alias("sh"))).collect():
+        buckets[r["band"]].add(keys[r["key"]])
+    sets = {i: shingles(x) for i, x in rows}
+    u = Union()
+    for a, b in {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            u.join(a, b)
+    assert max(map(len, buckets.values())) > 20
+    out = line_dedup.line_classes(df).collect()
+    assert {r["doc_id"] for r in out if r["kept"]} == {i for i, _ in rows if u.find(i) == i}
+
+
 def test_dropping_lines(spark):
     rows = [(1, "keep this line of words\nshort", "x"), (2, "keep this line of words\nanother line of some words\nshort", "y"), (3, "keep this line of words", "z"), (4, None, "n"), (5, "", "e")]
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, line_no string")).collect()}
