@@ -1,9 +1,11 @@
+import inspect
 import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tributary.llm import gru, lm_score as L
@@ -76,3 +78,24 @@ def test_batched_scores_equal_one_by_one():
     texts = [rng.integers(0, 54, n) for n in (1, 70, 3, 33, 16, 17)]
     one = [gru.score(p, vocab, [t])[0] for t in texts]
     assert gru.score(p, vocab, texts) == pytest.approx(one, rel=1e-4)
+
+
+def test_every_token_trains_once():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, 50, n), 0).astype(np.uint16) for n in (0, 3, 31, 32, 63, 400)]
+    pdf = pd.DataFrame({"id": [str(i) for i in range(len(docs))], "ids": [d.tobytes() for d in docs]})
+    default = {k: v.default for k, v in inspect.signature(L.score_documents).parameters.items()}
+    found = [seg for turn in range(default["rounds"]) for b in L.segments(iter([pdf]), default["stride"], turn) for seg in b]
+    targets = Counter(int(y) for seg in found for y in seg[1:] if y >= 0)
+    assert targets == Counter(int(y) for d in docs for y in d)
+    vocab = gru.Vocabulary(40, 5, 12)
+    assert gru.train(gru.initial(vocab, np.ones(52)), vocab, [np.stack(found)])[1] == sum(map(len, docs))
+
+
+def test_padding_has_no_gradient():
+    vocab = gru.Vocabulary(10, 3, 2)
+    p = {k: w.astype(np.float64) for k, w in gru.initial(vocab, np.arange(12.0)).items()}
+    start = np.zeros((1, gru.HIDDEN))
+    bare = gru.gradients(p, vocab, np.array([[0, 5]]), np.array([[5, 11]]), start)
+    padded = gru.gradients(p, vocab, np.array([[0, 5, 0]]), np.array([[5, 11, -1]]), start)
+    assert padded[2] == pytest.approx(bare[2]) and all(padded[0][k] == pytest.approx(bare[0][k], abs=1e-12) for k in p)

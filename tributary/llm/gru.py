@@ -109,7 +109,7 @@ def score(p: dict, vocab: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss of one window (streams by steps), the state after it, and the loss."""
+    """Gradients of the mean loss of one window (streams by steps), the state after it, and the loss. Negative targets are padding at a stream's end and have no loss."""
     n, steps = x.shape
     a = (p["E"][x] @ p["W"]) + p["b"]
     saved, states = [], []
@@ -119,6 +119,9 @@ def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
         states.append(new)
         h = new
     hs, ys = np.concatenate(states), y.T.reshape(-1)
+    dh_all = np.zeros_like(hs)
+    real = np.flatnonzero(ys >= 0)
+    hs, ys = hs[real], ys[real]
     scale = np.float32(1.0 / len(ys))
     g = {k: np.zeros_like(w) for k, w in p.items()}
     cls = vocab.class_of[ys]
@@ -128,7 +131,7 @@ def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
     d[np.arange(len(ys)), cls] -= 1.0
     d *= scale
     g["C"], g["c"] = hs.T @ d, d.sum(axis=0)
-    dh_all = d @ p["C"].T
+    dh_real = d @ p["C"].T
     order = np.argsort(cls, kind="stable")
     edges = np.searchsorted(cls[order], np.arange(vocab.closed + 1))
     for k in range(vocab.closed):
@@ -142,7 +145,8 @@ def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
             d[np.arange(len(at)), ys[at] - lo] -= 1.0
             d *= scale
             g["V"][lo:hi], g["v"][lo:hi] = d.T @ hs[at], d.sum(axis=0)
-            dh_all[at] += d @ p["V"][lo:hi]
+            dh_real[at] += d @ p["V"][lo:hi]
+    dh_all[real] = dh_real
     dh_all = dh_all.reshape(steps, n, HIDDEN)
     da = np.empty_like(a)
     dh = np.zeros((n, HIDDEN), np.float32)
@@ -163,7 +167,7 @@ def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
 
 
 def train(p: dict, vocab: Vocabulary, batches, rate: float = 0.01) -> tuple[dict, int]:
-    """Adam over batches of equal-length segments (streams by tokens); state passes between a segment's windows. Returns the tokens seen."""
+    """Adam over batches of equal-length segments (streams by tokens); negative tokens pad a segment's end; state passes between a segment's windows. Returns the tokens seen."""
     p = {k: w.copy() for k, w in p.items()}
     m = {k: np.zeros_like(w) for k, w in p.items()}
     s = {k: np.zeros_like(w) for k, w in p.items()}
@@ -172,7 +176,9 @@ def train(p: dict, vocab: Vocabulary, batches, rate: float = 0.01) -> tuple[dict
         h = np.zeros((len(seg), HIDDEN), np.float32)
         for t in range(0, seg.shape[1] - 1, WINDOW):
             y = seg[:, t + 1 : t + 1 + WINDOW]
-            g, h, _ = gradients(p, vocab, seg[:, t : t + y.shape[1]], y, h)
+            if not (y >= 0).any():
+                break
+            g, h, _ = gradients(p, vocab, np.maximum(seg[:, t : t + y.shape[1]], 0), y, h)
             n += 1
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             clip = min(1.0, 1.0 / (norm + 1e-9))
@@ -181,5 +187,5 @@ def train(p: dict, vocab: Vocabulary, batches, rate: float = 0.01) -> tuple[dict
                 m[k] += 0.1 * (x - m[k])
                 s[k] += 0.01 * (x * x - s[k])
                 p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)
-            seen += y.size
+            seen += int((y >= 0).sum())
     return p, seen

@@ -103,7 +103,7 @@ def coded(docs: DataFrame, frequent: list[tuple[str, int]], words: int, ends: in
 
 
 def segments(it: Iterator[pd.DataFrame], stride: int, turn: int) -> Iterator[np.ndarray]:
-    """Batches of STREAMS segments: those of each document whose place, offset by its id, falls on the turn."""
+    """Batches of STREAMS segments: those of each document whose place, offset by its id, falls on the turn; a last one is padded with -1."""
     rng, held = np.random.default_rng(turn), []
     for pdf in it:
         for doc, raw in zip(pdf["id"], pdf["ids"]):
@@ -111,8 +111,7 @@ def segments(it: Iterator[pd.DataFrame], stride: int, turn: int) -> Iterator[np.
             first = (turn - zlib.crc32(str(doc).encode())) % stride
             for k in range(first, -(-(len(ids) - 1) // SEGMENT), stride):
                 seg = ids[k * SEGMENT : (k + 1) * SEGMENT + 1]
-                if len(seg) == SEGMENT + 1:
-                    held.append(seg)
+                held.append(np.pad(seg, (0, SEGMENT + 1 - len(seg)), constant_values=-1))
         rng.shuffle(held)
         while len(held) >= STREAMS:
             yield np.stack(held[:STREAMS])
@@ -157,7 +156,7 @@ def one_round(docs: DataFrame, p: dict, vocab: gru.Vocabulary, stride: int, turn
 
 
 def score_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1024, frequent: int = 65_536, rounds: int = 2, stride: int = 8, rate: float = 0.01
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1024, frequent: int = 65_536, rounds: int = 8, stride: int = 8, rate: float = 0.01
 ) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (recurrent model), log10, of every row."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
