@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+
+
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, cut, with a broadcast hint where its rows are few; beyond that the join shuffles. Its rows must be narrow."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

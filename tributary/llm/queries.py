@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"), similarity=0.8, min_words=5)
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), similarity=0.8, min_words=1)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
