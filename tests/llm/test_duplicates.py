@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import jaccard_join, line_dedup
 from tributary.llm.components import components
@@ -73,10 +74,33 @@ def test_large_buckets_split_and_join(spark, monkeypatch):
     assert all(out[i]["class_id"] == i and out[i]["n_links"] == 0 for i in range(40, 70))
 
 
+@pytest.mark.parametrize("shared", [300, 400])
+def test_pairs_with_a_passage_of_many_are_found(spark, shared):
+    """Pairs of similarity 0.8 to 0.85 in texts that all share a passage; no text meets another pair's."""
+    rng, n, pairs = np.random.default_rng(5), 450, 1500 if shared == 300 else 400
+    passage = [f"p{i}" for i in range(shared)]
+    rows = []
+    for g in range(pairs):
+        own = [f"g{g}w{i}" for i in range(n - shared)]
+        copy = list(own)
+        for at in rng.choice(n - shared, 9 if shared == 300 else 4, replace=False):
+            copy[at] = f"g{g}x{at}"
+        rows += [(2 * g, " ".join(passage + own)), (2 * g + 1, " ".join(passage + copy))]
+    sets = shingle_sets([t for _, t in rows])
+    like = [len(np.intersect1d(sets[2 * g], sets[2 * g + 1])) / len(np.union1d(sets[2 * g], sets[2 * g + 1])) >= 0.8 for g in range(pairs)]
+    assert sum(like) > 0.5 * pairs
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit(1)).withColumn("root", F.lit(2))
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).collect()}
+    found = sum(out[2 * g + 1] == (2 * g, 1) for g in range(pairs) if like[g])
+    assert found >= 0.99 * sum(like)
+    assert all(out[k] == (k, 0) for g in range(pairs) if not like[g] for k in (2 * g, 2 * g + 1))
+
+
 def test_null_ids_and_short_texts(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "A b"), (3, "a  b"), (4, None)], "doc_id long, text string")
     out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(rows).collect()}
     assert out == {None: (None, 0), 1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (4, 0)}
+    assert {r["doc_id"] for r in jaccard_join.keep_one(rows).collect()} == {None, 1, 2, 4}
 
 
 def shingles(line):
@@ -120,7 +144,7 @@ def test_all_lines_of_a_bucket_meet(spark, monkeypatch, small):
     lines = line_dedup.exploded(df, "doc_id", "text", 5)
     keys = {r["key"]: r["id"] for r in lines.collect()}
     buckets = defaultdict(set)
-    for r in line_dedup.banded(lines).collect():
+    for r in line_dedup.banded(line_dedup.signatures(lines)).collect():
         buckets[r["band"]].add(keys[r["key"]])
     sets = {i: shingles(x) for i, x in rows}
     u = Union()
