@@ -1,22 +1,35 @@
 import hashlib
 import math
+import random
 
 import xxhash
 from pyspark.sql import functions as F
 
 from tributary.llm import fingerprints as P
 
+from .conftest import words
+
 
 def signed(v):
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
+def h64(words, seed=42):
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed=seed % (1 << 64))
+    return seed
+
+
 def paragraphs(text):
-    n = max(len(text), 1)
-    size = int(2 ** max(2, math.ceil(math.log2(n / 16))))
-    group = int(2 ** max(0, math.ceil(math.log2(n / 8192))))
-    marked = "".join(x + "\n" if group > 1 and signed(xxhash.xxh64_intdigest(x.encode(), seed=42)) % group else x + "\x02" for x in text.split("\n"))
-    return {p[i : i + size] for p in marked.split("\x02") for i in range(0, len(p), size) if p}
+    """The rule written out: borders at line ends, after one word in eight, and in long words after one character in 48."""
+    out = []
+    for w in text.split(" "):
+        if len(w) > 64:
+            w = "".join(c + "\x02" if signed(h64(w[max(i - 3, 0) : i + 1])) % 48 == 0 else c for i, c in enumerate(w))
+        elif signed(h64([w])) % 8 == 0:
+            w += "\x02"
+        out.append(w)
+    return {p for p in " ".join(out).replace("\n", "\x02").split("\x02") if p}
 
 
 def dice(a, b):
@@ -57,10 +70,35 @@ def test_one_document_is_its_own_next(spark):
 
 
 def test_blocks_hand_over_their_first_documents(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_BLOCKS", 7)
-    rows = [(i * i - 50, f"t{i}") for i in range(600)]
-    out = P.with_next(spark.createDataFrame(rows, "id long, text string")).collect()
-    assert {(r["id"], r["next_text"]) for r in out} == {(d, rows[(k + 1) % 600][1]) for k, (d, _) in enumerate(rows)}
+    monkeypatch.setattr(P, "BLOCK_DOCS", 90)
+    rows = [(i * i - 50, f"t{i}") for i in range(599)] + [(1 << 60, "far")]
+    for rows in (rows, [(None, "none"), *rows]):
+        n = len(rows)
+        placed = P.with_next(spark.createDataFrame(rows, "id long, text string"))
+        assert {(r["id"], r["next_text"]) for r in placed.collect()} == {(d, rows[(k + 1) % n][1]) for k, (d, _) in enumerate(rows)}
+
+
+def test_small_edits_leave_likeness_high_at_every_length(spark):
+    rng = random.Random(8)
+    for unspaced in (False, True):
+        base = []
+        for n in range(1000, 10_001, 300):
+            text = ""
+            while len(text) < n:
+                text += "".join(words(rng, 200)) if unspaced else " ".join(words(rng, 14)) + rng.choice(["\n", " ", " "])
+            base.append(text[:n])
+        for edit in (lambda t: "x" + t, lambda t: t + "\n" + " ".join(words(rng, 9)), lambda t: t + "1234567890"):
+            rows = [(k, t, edit(t)) for k, t in enumerate(base)]
+            df = P.with_paragraphs(spark.createDataFrame(rows, "id long, a string, b string"), {"a": "ka", "b": "kb"})
+            df = df.select("*", *(F.expr(P.sketch(k, f"{P.CELLS}L")).alias(s) for k, s in (("ka", "sa"), ("kb", "sb"))))
+            out = P.compared(df, "ka", "kb", "sa", "sb", "d").select("ka", "kb", "d.ok", P.differing("d", "ka", "kb").alias("n")).select(P.dice("n", "ka", "kb").alias("near"), "ok").collect()
+            assert min(r["near"] for r in out) >= 0.8
+
+
+def test_a_very_long_text_and_an_edit_of_all_of_it(spark):
+    rng = random.Random(9)
+    rows = [(1, " ".join(words(rng, 60_000))), (2, " ".join(words(rng, 50_000))), (3, "\U0001f600é" * 20_000)]
+    check({r["doc_id"]: r for r in P.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}, rows)
 
 
 def test_peeling_recovers_or_says_no(spark):

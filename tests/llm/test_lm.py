@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import gru, lm_score as L
 
@@ -37,7 +38,7 @@ def brute(rows):
 
 def test_scores(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = {r["doc_id"]: r for r in L.score_documents(df, words=32, frequent=64, stride=1, rounds=3).collect()}
+    out = {r["doc_id"]: r for r in L.score_documents(df, words=32, frequent=64, rounds=3).collect()}
     texts, held, n, base, known = brute(rows)
     assert set(out) == set(texts)
     for d, r in out.items():
@@ -80,16 +81,38 @@ def test_batched_scores_equal_one_by_one():
     assert gru.score(p, vocab, texts) == pytest.approx(one, rel=1e-4)
 
 
-def test_every_token_trains_once():
+def test_every_token_trains_once(spark):
     rng = np.random.default_rng(2)
     docs = [np.append(rng.integers(1, 50, n), 0).astype(np.uint16) for n in (0, 3, 31, 32, 63, 400)]
-    pdf = pd.DataFrame({"id": [str(i) for i in range(len(docs))], "ids": [d.tobytes() for d in docs]})
-    default = {k: v.default for k, v in inspect.signature(L.score_documents).parameters.items()}
-    found = [seg for turn in range(default["rounds"]) for b in L.segments(iter([pdf]), default["stride"], turn) for seg in b]
-    targets = Counter(int(y) for seg in found for y in seg[1:] if y >= 0)
-    assert targets == Counter(int(y) for d in docs for y in d)
+    pdf = pd.DataFrame({"id": [str(i) for i in range(len(docs))], "ids": [d.tobytes() for d in docs], "held_out": False})
+    rounds = inspect.signature(L.score_documents).parameters["rounds"].default
+    df = spark.createDataFrame(pdf)
+    dealt = [df.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn).toPandas() for turn in range(rounds)]
+    assert sorted(i for x in dealt for i in x["id"]) == sorted(pdf["id"])
+    (inputs, targets, starts), = L.batches_of(iter([pdf]))
+    assert Counter(targets[targets >= 0].tolist()) == Counter(int(y) for d in docs for y in d)
+    flat = [(int(x), int(y)) for x, y in zip(inputs.reshape(-1), targets.reshape(-1)) if y >= 0]
+    assert flat == [(int(x), int(y)) for d in docs for x, y in zip([0, *d], d)] and starts.sum() == len(docs)
     vocab = gru.Vocabulary(40, 5, 12)
-    assert gru.train(gru.initial(vocab, np.ones(52)), vocab, [np.stack(found)])[1] == sum(map(len, docs))
+    assert gru.train(gru.initial(vocab, np.ones(52)), vocab, [(inputs, targets, starts)])[1] == sum(map(len, docs))
+    assert list(L.batches_of(iter([pdf.iloc[:0]]))) == []
+
+
+def test_a_start_clears_the_state():
+    vocab = gru.Vocabulary(10, 3, 2)
+    p = {k: w.astype(np.float64) for k, w in gru.initial(vocab, np.arange(12.0)).items()}
+    x, y, zero = np.array([[0, 5, 0, 7]]), np.array([[5, 11, 7, 3]]), np.zeros((1, gru.HIDDEN))
+    starts = np.array([[True, False, True, False]])
+    both = gru.gradients(p, vocab, x, y, zero + 1.0, starts)
+    parts = [gru.gradients(p, vocab, x[:, i : i + 2], y[:, i : i + 2], zero) for i in (0, 2)]
+    assert both[2] == pytest.approx(sum(q[2] for q in parts) / 2) and both[1] == pytest.approx(parts[1][1])
+    assert all(both[0][k] == pytest.approx((parts[0][0][k] + parts[1][0][k]) / 2, abs=1e-12) for k in p)
+    # and the gradients are right in every weight, by finite differences
+    for k in p:
+        i = np.unravel_index(np.abs(both[0][k]).argmax(), both[0][k].shape)
+        q = {n: w.copy() for n, w in p.items()}
+        q[k][i] += 1e-6
+        assert (gru.gradients(q, vocab, x, y, zero, starts)[2] - both[2]) / 1e-6 == pytest.approx(both[0][k][i], rel=1e-3)
 
 
 def test_padding_has_no_gradient():

@@ -39,6 +39,18 @@ def test_every_prefix_count_equals_encoding_it_again():
             assert table.longest(limit) == max(k for k, n in enumerate(counts) if n <= limit)
 
 
+def test_a_megabyte_without_white_space_is_linear():
+    bpe = byte_bpe(PATH)
+    rng = random.Random(6)
+    text = "".join(rng.choice(["ab", "c1", "!", "é", "漢", "<|endoftext|>"]) for _ in range(500_000))
+    table = token_counts.PrefixTable(bpe, text)
+    assert table.n_tokens == len(bpe.ids(text)) and len(table.counts) == len(text) + 1
+    for k in rng.sample(range(len(text)), 3):
+        assert table.count(k) == len(bpe.ids(text[:k]))
+    one = "x" * 300_000  # one pre-token
+    assert token_counts.PrefixTable(bpe, one).n_tokens == len(bpe.ids(one))
+
+
 def test_counts_of_documents(docs, corpus, no_docs, library):
     out = {r["doc_id"]: r for r in token_counts.count_tokens(docs.withColumn("n_tokens", docs.doc_id), PATH, 100).collect()}
     assert len(out) == len(corpus)

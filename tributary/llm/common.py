@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +35,14 @@ def small(df: DataFrame) -> DataFrame:
     """The frame, cut, with a broadcast hint where its rows are few; beyond that the join shuffles. Its rows must be narrow."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+@functools.lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Lets this worker's numpy multiply in one thread: tasks are the parallelism, and waiting threads burn the other tasks' cores."""
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break

@@ -1,45 +1,60 @@
 """Document fingerprints by invertible Bloom lookup sketches (operator 7).
 
-A text is cut into paragraphs: its lines (in texts over 8192 characters runs of
-lines that end where a line's hash says), and longer ones into pieces of at most a
-sixteenth of the text, both at powers of two, so that versions of about one length
-cut alike. Each distinct paragraph's 64-bit digest goes into one cell of each of three
+A text is cut into paragraphs by its content alone: at line ends and after words
+whose hash says so, every WORDS-th on average; in words of more than LONG characters
+(text without spaces) after characters whose last four say so. The rule is the same
+at every length, so an edit moves only the borders beside it. Each distinct
+paragraph's 64-bit digest goes into one cell of each of three
 subtables; a cell holds the number of its digests and the exclusive-or of them and
 of their check hashes. Two sketches subtract cell by cell, common paragraphs cancel,
 and peeling takes cells that hold one digest until none are left, which recovers
 the differing digests with their sides. Where peeling stops early, both texts are
-sketched again in larger tables. Likeness is the Dice coefficient of the paragraph
+sketched again in more cells: their digests are dealt by value to as many tables as
+their number asks for, each is peeled by itself, and a second try uses fresh hashes. Likeness is the Dice coefficient of the paragraph
 sets that the recovered differences imply.
 
 DataFrame functions only; no Python runs on the rows. Defined cases: null and empty
 texts have no paragraphs and are like each other (1.0) and unlike all others (0.0);
-a single document is its own next; ties of id go by the text's hash; repeated rows
-are returned each.
+a single document is its own next; null ids come first and ties of id go by the
+text's hash; repeated rows are returned each; an empty table gives no rows; a text
+of any length is one row, its work in proportion to its paragraphs. Of the input's
+columns only the id and the text are read, so the others may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = "struct(0L as n, 0L as k, 0L as h)"
-#: Cells of a subtable in the published fingerprint; a retry has RETRY, the next ones twice the paragraphs and more, with fresh hashes.
+#: Cells of a subtable, in the published fingerprint and in each table of a retry.
 CELLS = 32
-RETRY = 128
+#: Cells of a subtable in a retry, and digests of both texts for each table of the first and second one.
+RETRY, DEALT = 64, (24, 12)
 #: Peeling steps; each takes one subtable's single digests.
 STEPS = 18
-MAX_BLOCKS = 65_536
+#: Words of a paragraph on average; characters of a word from which on it is cut inside, and of its pieces on average.
+WORDS, LONG, CHARS = 8, 64, 48
+#: Blocks of documents, at most, that meet their next ones, and documents in one.
+MAX_BLOCKS, BLOCK_DOCS = 16_384, 512
+
+
+def paragraphs(text: str) -> str:
+    """SQL of a text's paragraphs; char(2) marks the borders."""
+    chars = "split(w, '')"
+    last = "xxhash64(slice(cs, greatest(i - 2, 1), least(i + 1, 4)))"
+    inside = let("cs", chars, f"array_join(transform(cs, (c, i) -> if(pmod({last}, {CHARS}) = 0, concat(c, char(2)), c)), '')")
+    word = f"case when char_length(w) > {LONG} then {inside} when pmod(xxhash64(w), {WORDS}) = 0 then concat(w, char(2)) else w end"
+    return f"split(array_join(transform(split({text}, ' '), w -> {word}), ' '), '[\n\u0002]')"
 
 
 def with_paragraphs(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Adds for each text column (texts: to new name) the sorted distinct digests of its paragraphs."""
-    for text, out in texts.items():
-        power = lambda least, part, t=text: F.expr(f"cast(pow(2.0D, greatest({least}, ceil(log2(greatest(char_length({t}), 1) / {part}.0D)))) as int)")
-        df = df.withColumn("__size", power(2, 16)).withColumn("__group", power(0, 8192))
-        marked = f"array_join(transform(split({text}, '\n'), l -> if(__group > 1 and pmod(xxhash64(l), __group) <> 0, concat(l, '\n'), concat(l, char(2)))), '')"
-        pieces = "flatten(transform(split(__marked, char(2)), x -> if(char_length(x) <= __size, array(x), transform(sequence(0, cast((char_length(x) - 1) div __size as int)), i -> substring(x, i * __size + 1, __size)))))"
-        df = df.withColumn("__marked", F.expr(marked)).withColumn(out, F.expr(f"sort_array(array_distinct(transform(filter({pieces}, x -> x <> ''), x -> xxhash64(x))))"))
-    return df.drop("__size", "__group", "__marked")
+    digests = lambda t: f"sort_array(array_distinct(transform(filter({paragraphs(t)}, x -> x <> ''), x -> xxhash64(x))))"
+    return df.withColumns({out: F.expr(digests(text)) for text, out in texts.items()})
 
 
 def placed(digests: str, cells: str) -> str:
@@ -80,46 +95,70 @@ def text_of(cells: str) -> str:
     return f"array_join(transform(concat({cells}.t0, {cells}.t1, {cells}.t2), c -> if(c.n = 0, '', concat(hex(c.n), '.', lower(hex(c.k)), '.', lower(hex(c.h))))), ',')"
 
 
+def dealt(keys: str, bits: str) -> str:
+    """SQL of sorted digests dealt by their leading bits to 2 ** bits arrays, in one pass: marks at the least value of each array are sorted in between."""
+    marks = f"transform(sequence(0L, shiftleft(1L, {bits}) - 1L), g -> shiftleft(g, 64 - {bits}) ^ shiftleft(1L, 63))"
+    is_mark = f"(x & ~shiftleft(-1L, 64 - {bits})) = 0"
+    # the g-th mark at index i has i - g digests before it
+    starts = f"transform(filter(transform(sort_array(concat({keys}, {marks})), (x, i) -> if({is_mark}, i, -1)), i -> i >= 0), (i, g) -> i - g)"
+    return let("st", f"concat({starts}, array(size({keys})))", f"transform(sequence(0, size(st) - 2), g -> slice({keys}, st[g] + 1, st[g + 1] - st[g]))")
+
+
+def again(a: str, b: str, each: int) -> str:
+    """SQL of (ok, found) from many small tables, about ``each`` digests to a table."""
+    bits = f"cast(greatest(1.0D, ceil(log2((size({a}) + size({b})) / {each}.0D))) as int)"
+    both = let("qa", sketch("q.a", f"{RETRY}L"), let("qb", sketch("q.b", f"{RETRY}L"), subtract("qa", "qb")))
+    one = peel(both, f"{RETRY}L")
+    parts = f"transform(arrays_zip({dealt(a, 'nb')}, {dealt(b, 'nb')}), z -> struct(z['0'] as a, z['1'] as b))"
+    done = let("nb", bits, f"transform({parts}, q -> {one})")
+    return let("all_", done, "struct(forall(all_, t -> t.ok) as ok, flatten(transform(all_, t -> t.found)) as found)")
+
+
 def compared(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
-    """Adds ``out``: (ok, found) for the digest arrays a and b, whose base sketches are at hand."""
+    """Adds ``out``: (ok, found) for the sorted digest arrays a and b, whose base sketches are at hand."""
     df = df.withColumn("__t0", F.expr(peel(subtract(sketch_a, sketch_b), f"{CELLS}L")))
-    last = "__t0"
-    larger = f"cast(pow(2.0D, ceil(log2(2.0D * greatest(1, size({a}) + size({b}))))) as bigint)"
-    tries = [(f"{RETRY}L", a, b)] + [(f"({larger})", f"transform({a}, k -> xxhash64({s}, k))", f"transform({b}, k -> xxhash64({s}, k))") for s in (1, 2)]
-    for i, (cells, ka, kb) in enumerate(tries, 1):
-        enough = f"size({a}) + size({b}) <= 2 * {cells}" if i == 1 else "true"  # a table that may be too full from the start is skipped
-        again = peel(subtract(sketch(ka, cells), sketch(kb, cells)), cells)
-        df = df.withColumn(f"__t{i}", F.expr(f"case when {last}.ok or not ({enough}) then {last} else {again} end"))
-        last = f"__t{i}"
-    return df.withColumn(out, F.col(last)).drop(*(f"__t{i}" for i in range(len(tries) + 1)))
+    fresh = lambda k: f"sort_array(transform({k}, k -> xxhash64(1, k)))"
+    tries = [again(a, b, DEALT[0]), let("fa", fresh(a), let("fb", fresh(b), again("fa", "fb", DEALT[1])))]
+    for i, larger in enumerate(tries, 1):
+        df = df.withColumn(f"__t{i}", F.expr(f"case when __t{i - 1}.ok then __t{i - 1} else {larger} end"))
+    return df.withColumn(out, F.col(f"__t{len(tries)}")).drop(*(f"__t{i}" for i in range(len(tries) + 1)))
+
+
+def differing(diff: str, a: str, b: str) -> Column:
+    """Number of digests in one text only; a pair that no retry could peel (two digests in the same cells each time) is settled by the digests themselves."""
+    return F.expr(f"cast(if({diff}.ok, size({diff}.found), size(array_except({a}, {b})) + size(array_except({b}, {a}))) as bigint)")
 
 
-def dice(diff: str, a: str, b: str) -> Column:
-    """Likeness from the recovered differences; a sketch that no retry could peel (never seen) is settled by the digests themselves."""
-    only = lambda n: f"size(filter({diff}.found, c -> c.n = {n}))"
-    both = f"size({a}) + size({b})"
-    common = f"case when {diff}.ok then ({both} - {only(1)} - {only(-1)}) else 2 * size(array_intersect({a}, {b})) end"
-    return F.expr(f"case when {both} = 0 then 1.0D else cast({common} as double) / ({both}) end")
+def dice(n_differ: str, a: str, b: str) -> Column:
+    """Likeness of two texts from the number of differing digests."""
+    both = f"(size({a}) + size({b}))"
+    return F.expr(f"if({both} = 0, 1.0D, ({both} - {n_differ}) / cast({both} as double))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (id, text) with next_text: the text of the next id, of the first after the last.
 
-    Ids are cut into blocks of equal width; a document that starts a block goes to
-    the block before it as well, so every pair meets in one block and texts shuffle
-    once. There are at most MAX_BLOCKS blocks, the bound of what is broadcast.
+    Ids are cut into blocks at their quantiles, so that blocks hold about as many
+    documents whatever the ids; a document that starts a block goes to the block
+    before it as well, so every pair meets in one block and texts shuffle once.
+    There are at most MAX_BLOCKS blocks, the bound of what the driver holds and of
+    what is broadcast.
     """
-    span = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"] or span["lo"] is None:
-        return docs.withColumn("next_text", F.lit(None).cast("string")).withColumn("next_text", F.coalesce("next_text", "text"))
-    blocks = min(MAX_BLOCKS, -(-span["n"] // 512))
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // blocks))
-    placed = docs.withColumn("block", F.coalesce(F.floor((F.col("id").cast("double") - float(span["lo"])) / float(width)), F.lit(0)))
+    n = docs.count()
+    blocks = min(MAX_BLOCKS, -(-n // BLOCK_DOCS))
+    marks = docs.agg(F.percentile_approx("id", [k / blocks for k in range(1, blocks)], 4 * blocks)).first()[0] if blocks > 1 else []
+    placed = docs.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-math.inf)))
+    splits = [-math.inf, *sorted({float(x) for x in marks or []}), math.inf]
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="at", outputCol="block").transform(placed)
+    else:
+        placed = placed.withColumn("block", F.lit(0.0))
+    placed = placed.drop("at")
     across = Window.orderBy("block")
-    firsts = placed.groupBy("block").agg(F.min("id").alias("id"))  # MAX_BLOCKS rows at most
+    firsts = placed.groupBy("block").agg(F.min("id").alias("first"), F.count_if(F.col("id").isNull()).alias("nulls"))  # MAX_BLOCKS rows at most
     last = firsts.agg(F.max("block")).first()[0]
-    firsts = firsts.select("id", F.coalesce(F.lag("block").over(across), F.lit(last)).alias("before"))
-    both = placed.join(F.broadcast(firsts), "id", "left")
+    firsts = firsts.select(F.when(F.col("nulls") == 0, F.col("first")).alias("first"), F.coalesce(F.lag("block").over(across), F.lit(last)).alias("before"))
+    both = placed.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("first")), "left")
     both = both.select("id", "text", F.posexplode(F.when(F.col("before").isNull(), F.array("block")).otherwise(F.array("block", "before"))).alias("copy", "block"))
     order = Window.partitionBy("block").orderBy("copy", "id", F.xxhash64("text"))
     return both.withColumn("next_text", F.lead("text").over(order)).where("copy = 0").select("id", "text", F.coalesce("next_text", "text").alias("next_text"))
@@ -142,9 +181,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("*", *(F.expr(sketch(k, f"{CELLS}L")).alias(s) for k, s in (("ka", "sa"), ("ke", "se"), ("kn", "sn"))))
     rows = compared(rows, "ka", "ke", "sa", "se", "to_edited")
     rows = compared(rows, "ka", "kn", "sa", "sn", "to_next")
+    rows = rows.withColumns({"n_differ_edited": differing("to_edited", "ka", "ke"), "n_differ_next": differing("to_next", "ka", "kn")})
     return rows.select(
         F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_chars", "edited_sha256",
         F.expr(text_of("sa")).alias("fingerprint"), F.expr(text_of("se")).alias("edited_fingerprint"),
-        dice("to_edited", "ka", "ke").alias("near_edited"), dice("to_next", "ka", "kn").alias("near_next"),
-        F.size("to_edited.found").cast("long").alias("n_differ_edited"), F.size("to_next.found").cast("long").alias("n_differ_next"),
+        dice("n_differ_edited", "ka", "ke").alias("near_edited"), dice("n_differ_next", "ka", "kn").alias("near_next"), "n_differ_edited", "n_differ_next",
     )

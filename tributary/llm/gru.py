@@ -54,27 +54,28 @@ def step(p: dict, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def log_likelihood(p: dict, vocab: Vocabulary, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, its class's fixed share aside."""
+    order = np.argsort(vocab.class_of[y].astype(np.uint16), kind="stable")
+    h, y = h[order], y[order]  # a class's states are one slice
     cls = vocab.class_of[y]
-    x = h @ p["C"] + p["c"]
-    top = x.max(axis=1)
-    out = x[np.arange(len(y)), cls] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(vocab.closed + 1))
+    rows = np.arange(len(y))
+
+    def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=1, keepdims=True)
+        own = x[rows[: len(x)], at]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+    found = log_share(h @ p["C"] + p["c"], cls)
+    edges = np.searchsorted(cls, np.arange(vocab.closed + 1))
     for k in range(vocab.closed):
-        at = order[edges[k] : edges[k + 1]]
-        if len(at):
+        i, j = edges[k], edges[k + 1]
+        if i < j:
             lo = k * vocab.width
             hi = min(lo + vocab.width, vocab.words)
-            x = h[at] @ p["V"][lo:hi].T + p["v"][lo:hi]
-            top = x.max(axis=1)
-            out[at] += x[np.arange(len(at)), y[at] - lo] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+            found[i:j] += log_share(h[i:j] @ p["V"][lo:hi].T + p["v"][lo:hi], y[i:j] - lo)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -108,77 +109,127 @@ def score(p: dict, vocab: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss of one window (streams by steps), the state after it, and the loss. Negative targets are padding at a stream's end and have no loss."""
+def output_gradients(p: dict, vocab: Vocabulary, hs: np.ndarray, ys: np.ndarray, g: dict) -> tuple[np.ndarray, float]:
+    """Gradient of the mean loss by the states hs, with those of the output weights put into g, and the loss."""
+    n = len(ys)
+    scale = hs.dtype.type(1.0 / n)
+    order = np.argsort(vocab.class_of[ys].astype(np.uint16), kind="stable")
+    hs, ys = hs[order], ys[order]  # a class's states are one slice
+    cls = vocab.class_of[ys]
+    rows = np.arange(n)
+
+    def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+        """x becomes the scaled difference of the softmax and the targets."""
+        x -= x.max(axis=1, keepdims=True)
+        loss = -float(x[rows[: len(x)], at].sum())
+        np.exp(x, out=x)
+        total = x.sum(axis=1, keepdims=True)
+        loss += float(np.log(total).sum())
+        x *= scale / total
+        x[rows[: len(x)], at] -= scale
+        return x, loss
+
+    d, loss = softmax(hs @ p["C"] + p["c"], cls)
+    g["C"], g["c"] = hs.T @ d, d.sum(axis=0)
+    dh = d @ p["C"].T
+    edges = np.searchsorted(cls, np.arange(vocab.closed + 1))
+    for k in range(vocab.closed):
+        i, j = edges[k], edges[k + 1]
+        if i < j:
+            lo = k * vocab.width
+            hi = min(lo + vocab.width, vocab.words)
+            d, more = softmax(hs[i:j] @ p["V"][lo:hi].T + p["v"][lo:hi], ys[i:j] - lo)
+            loss += more
+            g["V"][lo:hi], g["v"][lo:hi] = d.T @ hs[i:j], d.sum(axis=0)
+            dh[i:j] += d @ p["V"][lo:hi]
+    out = np.empty_like(dh)
+    out[order] = dh
+    return out, loss / n
+
+
+def gradients(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of the mean loss of one window (streams by steps), the state after it, and the loss.
+
+    Negative targets are padding at a stream's end and have no loss; where ``starts``
+    is true a text begins and the state before it counts as zero.
+    """
     n, steps = x.shape
-    a = (p["E"][x] @ p["W"]) + p["b"]
+    x = np.ascontiguousarray(x.T)
+    project = p["E"] @ p["W"] + p["b"]
+    a = project[x]
+    keep = None if starts is None else (~starts.T[:, :, None]).astype(h.dtype)
     saved, states = [], []
     for t in range(steps):
-        new, *rest = step(p, a[:, t], h)
+        if keep is not None:
+            h = h * keep[t]
+        new, *rest = step(p, a[t], h)
         saved.append((h, *rest))
         states.append(new)
         h = new
     hs, ys = np.concatenate(states), y.T.reshape(-1)
-    dh_all = np.zeros_like(hs)
-    real = np.flatnonzero(ys >= 0)
-    hs, ys = hs[real], ys[real]
-    scale = np.float32(1.0 / len(ys))
     g = {k: np.zeros_like(w) for k, w in p.items()}
-    cls = vocab.class_of[ys]
-    soft = log_softmax(hs @ p["C"] + p["c"])
-    loss = -float(soft[np.arange(len(ys)), cls].mean())
-    d = np.exp(soft)
-    d[np.arange(len(ys)), cls] -= 1.0
-    d *= scale
-    g["C"], g["c"] = hs.T @ d, d.sum(axis=0)
-    dh_real = d @ p["C"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(vocab.closed + 1))
-    for k in range(vocab.closed):
-        at = order[edges[k] : edges[k + 1]]
-        if len(at):
-            lo = k * vocab.width
-            hi = min(lo + vocab.width, vocab.words)
-            soft = log_softmax(hs[at] @ p["V"][lo:hi].T + p["v"][lo:hi])
-            loss -= float(soft[np.arange(len(at)), ys[at] - lo].sum()) * float(scale)
-            d = np.exp(soft)
-            d[np.arange(len(at)), ys[at] - lo] -= 1.0
-            d *= scale
-            g["V"][lo:hi], g["v"][lo:hi] = d.T @ hs[at], d.sum(axis=0)
-            dh_real[at] += d @ p["V"][lo:hi]
-    dh_all[real] = dh_real
+    real = np.flatnonzero(ys >= 0)
+    dh_all = np.zeros_like(hs)
+    dh_all[real], loss = output_gradients(p, vocab, hs[real], ys[real], g)
     dh_all = dh_all.reshape(steps, n, HIDDEN)
     da = np.empty_like(a)
-    dh = np.zeros((n, HIDDEN), np.float32)
+    dh = np.zeros((n, HIDDEN), a.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, r, cand, gn = saved[t]
         dh = dh + dh_all[t]
-        dcand = dh * (1 - z) * (1 - cand * cand)
-        dz = dh * (before - cand) * z * (1 - z)
-        dr = dcand * gn * r * (1 - r)
-        da[:, t] = np.concatenate([dz, dr, dcand], axis=1)
-        dg = np.concatenate([dz, dr, dcand * r], axis=1)
+        rest = dh * (1 - z)
+        dcand = rest * (1 - cand * cand)
+        da[t, :, :HIDDEN] = rest * (before - cand) * z
+        da[t, :, HIDDEN : 2 * HIDDEN] = dcand * gn * r * (1 - r)
+        da[t, :, 2 * HIDDEN :] = dcand
+        dg = da[t].copy()
+        dg[:, 2 * HIDDEN :] *= r
         g["U"] += before.T @ dg
         dh = dh * z + dg @ p["U"].T
-    flat = da.reshape(-1, 3 * HIDDEN)
-    g["W"], g["b"] = p["E"][x].reshape(-1, EMBED).T @ flat, flat.sum(axis=0)
-    np.add.at(g["E"], x.reshape(-1), flat @ p["W"].T)
+        if keep is not None:
+            dh = dh * keep[t]
+    # sums over equal inputs: one row of the projection each
+    flat, inputs = da.reshape(-1, 3 * HIDDEN), x.reshape(-1)
+    order = np.argsort(inputs.astype(np.uint16), kind="stable")
+    inputs = inputs[order]
+    first = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+    sums, at = np.add.reduceat(flat[order], first, axis=0), inputs[first]
+    g["b"] = sums.sum(axis=0)
+    g["W"] = p["E"][at].T @ sums
+    g["E"][at] = sums @ p["W"].T
     return g, h, loss
 
 
+def lanes(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and starts (streams by tokens) of texts laid end to end and cut into equal streams; each token is a target once, the last stream is padded.
+
+    A text's first input is the end before it, id 0. A text that is cut goes on in the
+    next stream from a zero state.
+    """
+    ids = np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64)
+    begins = np.zeros(len(ids), dtype=bool)
+    if len(texts):
+        begins[np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])] = True
+    width = -(-len(ids) // streams)
+    pad = width * streams - len(ids)
+    before = np.where(begins, 0, np.concatenate([[0], ids[:-1]]) if len(ids) else ids)
+    shaped = lambda v, fill: np.pad(v, (0, pad), constant_values=fill).reshape(streams, width)
+    return shaped(before, 0), shaped(ids, -1), shaped(begins, False)
+
+
 def train(p: dict, vocab: Vocabulary, batches, rate: float = 0.01) -> tuple[dict, int]:
-    """Adam over batches of equal-length segments (streams by tokens); negative tokens pad a segment's end; state passes between a segment's windows. Returns the tokens seen."""
+    """Adam over batches of lanes (inputs, targets, starts), window by window; the state passes from window to window. Returns the tokens seen."""
     p = {k: w.copy() for k, w in p.items()}
     m = {k: np.zeros_like(w) for k, w in p.items()}
     s = {k: np.zeros_like(w) for k, w in p.items()}
     seen = n = 0
-    for seg in batches:
-        h = np.zeros((len(seg), HIDDEN), np.float32)
-        for t in range(0, seg.shape[1] - 1, WINDOW):
-            y = seg[:, t + 1 : t + 1 + WINDOW]
+    for inputs, targets, starts in batches:
+        h = np.zeros((len(inputs), HIDDEN), np.float32)
+        for t in range(0, inputs.shape[1], WINDOW):
+            y = targets[:, t : t + WINDOW]
             if not (y >= 0).any():
                 break
-            g, h, _ = gradients(p, vocab, np.maximum(seg[:, t : t + y.shape[1]], 0), y, h)
+            g, h, _ = gradients(p, vocab, inputs[:, t : t + WINDOW], y, h, starts[:, t : t + WINDOW])
             n += 1
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             clip = min(1.0, 1.0 / (norm + 1e-9))

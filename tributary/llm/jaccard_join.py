@@ -6,8 +6,12 @@ pair of similarity s shares a chosen shingle with a probability of at least
 chosen shingle meet in a bucket. Small buckets are compared by brute force on
 MinHash sketches. In larger ones every set is compared with the bucket's pivot,
 and the sets that are not like it are split again on a MinHash value (one of the
-set's shingles) chosen by a hash of the path so far. Connected candidates are then compared exactly, block by block,
-on their whole shingle sets; the links that hold give classes and link counts.
+set's shingles) chosen by a hash of the path so far, for DEPTH levels. What those
+levels leave apart is not dropped: all sets of every large first bucket that still
+holds two components go through an exact prefix join, so that a pair is missed only
+where no run lets it share a bucket, as the number of runs allows for. Connected
+candidates are then compared exactly, block by block, on their whole shingle sets;
+the links that hold give classes and link counts.
 
 Texts with equal shingle sets are one set from the start, so exact copies cost one
 comparison. Counts of links are exact inside connected candidates: the work there
@@ -16,7 +20,10 @@ bounded blocks that spread over tasks; no pair is ever a row.
 
 Defined cases: null and empty texts have no shingles and are each a class of their
 own; texts of fewer than five words are one shingle; rows that share an id count
-as one document; rows with a null id are not compared (null class, no links).
+as one document; rows with a null id are not compared (null class, no links) and
+stay in ``keep_one``; an empty table gives no rows; a text of any length is one set
+in one task. Of the input's columns only the id and the text are read here, so the
+others may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import cut
+from tributary.llm.common import cut, one_blas_thread, small
 from tributary.llm.components import components
 from tributary.llm.shingles import mix, shingle_sets
 
@@ -38,6 +45,8 @@ SKETCH = 64
 #: Sets of a bucket that are compared by brute force; shingles of a block in the exact comparison, where a set counts as SHORT at least.
 SMALL, BLOCK, SHORT = 64, 1_000_000, 500
 DEPTH = 4
+#: Every HOT_SHARE-th left-over set is looked at for frequent shingles; those in HOT_LEAST of these sets come last in the prefix order, HOT_MOST at most. Any order is exact; a good one is fast.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 4, 3, 500_000
 #: How far below the threshold a sketch may fall: three standard deviations of SKETCH values.
 SLACK = 0.15
 PLACES = np.arange(SKETCH, dtype=np.uint64) << np.uint64(16)
@@ -103,8 +112,8 @@ def small_links(rows: DataFrame, least: float) -> DataFrame:
     return lists.mapInPandas(batches, "a long, b long")
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the ids of sets that may be alike, enough to connect all that are."""
+def candidates(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the ids of sets that may be alike, and the members (path, id) of the large first buckets."""
     least = similarity - SLACK
 
     @F.pandas_udf("double")
@@ -120,7 +129,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
                 rows += [(doc, raw, int(k)) for k in chosen(values, path % (1 << 64), similarity)]
             yield pd.DataFrame(rows, columns=["id", "sketch", "path"])
 
-    found = None
+    found = large = None
     level = sets.select("id", "sketch", F.explode("paths").alias("path"))
     for _ in range(DEPTH):
         buckets = level.groupBy("path").agg(F.count("*").alias("m"), F.min("id").alias("pivot"), F.min_by("sketch", "id").alias("pivot_sketch")).where("m > 1")
@@ -129,11 +138,67 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
         links = small_links(met.where(F.col("m") <= SMALL), least)
         links = cut(links.union(met.where("like and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct())
         found = links if found is None else found.union(links)
+        large = met.where(F.col("m") > SMALL).select("path", "id") if large is None else large
         rest = met.where("not like").select("id", "sketch", "path")
         if rest.isEmpty():
             break
         level = rest.mapInPandas(children, "id long, sketch binary, path long")
-    return found
+    return found, large
+
+
+def left_over(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of all sets in large buckets that hold more than one component."""
+    rows = large.join(roots, F.col("id") == F.col("node"), "left").select("path", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
+    return small(rows.join(mixed, "path", "left_semi").select("id", "root").distinct())
+
+
+def prefix_links(rest: DataFrame, docs: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) between all left-over sets of different components that may be alike. rest: id, root; docs: id, text.
+
+    With every set's shingles in one order, frequent ones last, two sets as similar
+    share one of the first n - ceil(s n) + 1 of the longer and of the first
+    n - ceil(2 s n / (1 + s)) + 1 of the shorter. Texts that have only a common
+    passage do not meet: the prefix of the shorter ends before the passage begins.
+    """
+    texts = docs.join(rest, "id")
+
+    def often(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = shingle_sets(list(pdf["text"]), words)
+            yield pd.DataFrame({"sh": np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)})
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SHARE)) == 0).select("text").mapInPandas(often, "sh long")
+    counts = some.groupBy("sh").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
+    hot = counts.orderBy(F.desc("n"), "sh").limit(HOT_MOST).toPandas()  # HOT_MOST rows at most: an order, not a cut
+    hot_sh = np.sort(hot["sh"].to_numpy(np.int64)) if len(hot) else np.zeros(0, np.int64)
+    rank = dict(zip(hot["sh"], hot["n"])) if len(hot) else {}
+    hot_n = np.array([rank[x] for x in hot_sh], dtype=np.int64)
+
+    def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for doc, root, s in zip(pdf["id"], pdf["root"], shingle_sets(list(pdf["text"]), words)):
+                s, n = s.view(np.int64), len(s)
+                at = np.minimum(np.searchsorted(hot_sh, s), max(len(hot_sh) - 1, 0))
+                freq = np.where(hot_sh[at] == s, hot_n[at], 0) if len(hot_sh) else np.zeros(n, np.int64)
+                order = np.lexsort((s, freq))
+                probe = n - math.ceil(similarity * n - 1e-9) + 1
+                index = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+                out.append(pd.DataFrame({"sh": s[order[:probe]], "id": doc, "root": root, "n": n, "indexed": np.arange(probe) < index}))
+            yield pd.concat(out) if out else pd.DataFrame({"sh": [], "id": [], "root": [], "n": [], "indexed": []})
+
+    held = cut(texts.select("id", "root", "text").mapInPandas(prefixes, "sh long, id long, root long, n long, indexed boolean"))
+    other = held.where("indexed").select("sh", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    longer = (F.col("n") >= F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n") - 1e-9) & (F.col("root") != F.col("root_b"))
+    pairs = held.join(other, "sh").where(longer).select(F.col("id").alias("a"), "b").distinct()
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(agree(*(np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, SKETCH) for s in (a, b))))
+
+    near = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return near.where(likeness("sa", "sb") >= similarity - SLACK).select("a", "b")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -169,9 +234,9 @@ def compared(placed: DataFrame, similarity: float) -> DataFrame:
         right = [r for r in rows if r[5] != 0]
         if not left or not right:
             return []
-        sizes = [np.array([len(r[6]) for r in x], dtype=np.float32) for x in (left, right)]
-        inter = overlaps([r[6] for r in left], [r[6] for r in right])
-        alike = inter >= np.float32(similarity) * (sizes[0][:, None] + sizes[1][None, :] - inter) - 1e-3
+        sizes = [np.array([len(r[6]) for r in x], dtype=np.float64) for x in (left, right)]
+        inter = overlaps([r[6] for r in left], [r[6] for r in right]).astype(np.float64)  # counts, exact in both
+        alike = inter * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6
         same = left[0][5] == 2
         if same:
             np.fill_diagonal(alike, False)
@@ -186,6 +251,7 @@ def compared(placed: DataFrame, similarity: float) -> DataFrame:
         return out
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_blas_thread()
         at, rows = None, []
         for pdf in it:
             out = []
@@ -228,7 +294,12 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, recall: float = 0.99
     all_sets = cut(sketched(docs, similarity, runs_for(recall), words))
     reps = cut(all_sets.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"), F.max("n").alias("n")))
     sets = all_sets.join(reps, ["hi", "lo"]).where("id = rep").dropDuplicates(["id"]).select("id", "sketch", "paths")
-    maybe = components(candidates(sets, similarity))
+    found, large = candidates(sets, similarity)
+    maybe = components(found)
+    rest = left_over(large, maybe)
+    if not rest.isEmpty():
+        more = prefix_links(rest, docs, sets, similarity, words)
+        maybe = components(maybe.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     members = reps.join(maybe, F.col("rep") == F.col("node")).select(F.col("rep").alias("id"), "weight", "n", "root")
     sizes = members.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(SHORT))) / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -259,6 +330,6 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, recall: float = 0.99
 
 
 def keep_one(df: DataFrame, similarity: float = 0.8, recall: float = 0.995, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their class."""
-    stay = near_duplicates(df, similarity, recall, words, id_col, text_col).where(F.col("class_id") == F.col(id_col)).select(id_col).distinct()
-    return df.join(stay, id_col, "left_semi")
+    """The rows whose id is the least of their class, and those without an id."""
+    gone = near_duplicates(df, similarity, recall, words, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(id_col).distinct()
+    return df.join(gone, id_col, "left_anti")

@@ -10,12 +10,14 @@ given the state, times the word's smoothed share of the class's training count;
 counts of rare words come by a join, so no vocabulary is broadcast whole.
 
 Parameters that bound what travels: ``words`` modelled words and ``frequent`` words
-whose counts go along with the tasks. Each training round takes every
-``stride``-th segment of 32 tokens of all training documents, another for each round.
+whose counts go along with the tasks.
 
 Defined cases: null and empty texts are the end token alone; null ids count as
 empty text for the split; repeated rows are scored each; without training
-documents all counts are zero and the model keeps its initial weights.
+documents all counts are zero and the model keeps its initial weights; an empty
+table gives no rows; a text of any length is one row, scored window by window. Of
+the input's columns only the id and the text are read, so the others may have any
+name.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm import gru
-from tributary.llm.common import cut
+from tributary.llm.common import cut, one_blas_thread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASSES, OPEN = 32, 32
-SEGMENT, STREAMS = 32, 128
-SLICE = 1000
+#: Lanes of a training batch, at most, and tokens of a lane, at least; texts that are held at once.
+STREAMS, LANE, SLICE = 256, 256, 1000
 
 
 def is_held_out(id_col: str) -> Column:
@@ -102,22 +104,12 @@ def coded(docs: DataFrame, frequent: list[tuple[str, int]], words: int, ends: in
     return docs.mapInPandas(batches, "id string, held_out boolean, n_tokens long, ids binary, log_frequent double, log_open double, n_frequent long, rare array<string>, times array<long>")
 
 
-def segments(it: Iterator[pd.DataFrame], stride: int, turn: int) -> Iterator[np.ndarray]:
-    """Batches of STREAMS segments: those of each document whose place, offset by its id, falls on the turn; a last one is padded with -1."""
-    rng, held = np.random.default_rng(turn), []
+def batches_of(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lanes of the documents of each batch of rows."""
     for pdf in it:
-        for doc, raw in zip(pdf["id"], pdf["ids"]):
-            ids = np.concatenate([[0], np.frombuffer(raw, dtype=np.uint16)]).astype(np.int64)
-            first = (turn - zlib.crc32(str(doc).encode())) % stride
-            for k in range(first, -(-(len(ids) - 1) // SEGMENT), stride):
-                seg = ids[k * SEGMENT : (k + 1) * SEGMENT + 1]
-                held.append(np.pad(seg, (0, SEGMENT + 1 - len(seg)), constant_values=-1))
-        rng.shuffle(held)
-        while len(held) >= STREAMS:
-            yield np.stack(held[:STREAMS])
-            del held[:STREAMS]
-    if held:
-        yield np.stack(held)
+        if len(pdf):
+            texts = [np.frombuffer(raw, dtype=np.uint16) for raw in pdf["ids"]]
+            yield gru.lanes(texts, max(1, min(STREAMS, sum(map(len, texts)) // LANE)))
 
 
 def pack(p: dict) -> bytes:
@@ -132,13 +124,14 @@ def unpack(raw: bytes, like: dict) -> dict:
     return out
 
 
-def one_round(docs: DataFrame, p: dict, vocab: gru.Vocabulary, stride: int, turn: int, rate: float) -> dict:
+def one_round(docs: DataFrame, p: dict, vocab: gru.Vocabulary, rounds: int, turn: int, rate: float) -> dict:
     """Every task trains a copy on its own documents; the mean, weighted by tokens, in two levels."""
 
     def trained(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        q, seen = gru.train(p, vocab, segments(it, stride, turn), rate)
+        one_blas_thread()
+        q, seen = gru.train(p, vocab, batches_of(it), rate)
         if seen:
             yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "seen": [seen], "weights": [pack(q)]})
 
@@ -148,7 +141,8 @@ def one_round(docs: DataFrame, p: dict, vocab: gru.Vocabulary, stride: int, turn
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "seen": [seen], "weights": [(total / seen).astype(np.float32).tobytes()]})
 
     schema = "part int, seen long, weights binary"
-    rows = docs.where("not held_out").select("id", "ids").mapInPandas(trained, schema).groupBy("part").applyInPandas(mean, schema).collect()  # 16 rows at most
+    own = ~F.col("held_out") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)
+    rows = docs.where(own).select("ids").mapInPandas(trained, schema).groupBy("part").applyInPandas(mean, schema).collect()  # 16 rows at most
     if not rows:
         return p
     total = sum(np.frombuffer(r["weights"], dtype=np.float32).astype(np.float64) * r["seen"] for r in rows) / sum(r["seen"] for r in rows)
@@ -156,7 +150,7 @@ def one_round(docs: DataFrame, p: dict, vocab: gru.Vocabulary, stride: int, turn
 
 
 def score_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1024, frequent: int = 65_536, rounds: int = 8, stride: int = 8, rate: float = 0.01
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1024, frequent: int = 65_536, rounds: int = 4, rate: float = 0.01
 ) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (recurrent model), log10, of every row."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
@@ -183,9 +177,10 @@ def score_documents(
     base = cut(coded(docs, top, words, ends, np.log10(open_mass)).withColumn("row", F.monotonically_increasing_id()))
     p = gru.initial(vocab, seen)
     for turn in range(rounds):
-        p = one_round(base, p, vocab, stride, turn, rate / (1 + turn))
+        p = one_round(base, p, vocab, rounds, turn, rate / (1 + turn))
 
     def scored(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_blas_thread()
         for pdf in it:
             for lo in range(0, len(pdf), 4 * SLICE):
                 part = pdf.iloc[lo : lo + 4 * SLICE]

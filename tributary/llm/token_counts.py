@@ -1,20 +1,27 @@
 """Exact token counts of every prefix (operator 5).
 
-A text is cut where a run of white space begins. No token crosses such a cut and
-the tokens before it do not depend on what follows, so the counts at the cuts are
-a running sum. Inside one segment a dynamic programme over byte positions stores
-the count of each prefix: the encoding of a prefix is the encoding of a shorter
-prefix plus one last token, and a token may follow another exactly if the two
-encode to themselves when joined.
-
-Null texts count as empty; empty texts have no tokens; any text length is fine,
-memory follows the longest text of a batch.
+A dynamic programme over the bytes of a pre-token stores the count of each of its
+prefixes: the encoding of a prefix is the encoding of a shorter prefix plus one last
+token, and a token may follow another exactly if the two encode to themselves when
+joined. It runs once for each distinct pre-token of a task and is remembered. A text's
+table is then its pre-tokens' counts on top of the running sum of those before, and
+n_tokens, over_limit and the longest prefix within a limit are read from that table.
+
+Three prefixes need more than the sum. One that ends with a run of white space has
+that run as one pre-token. A part of a contraction is two pre-tokens. A text is cut
+at special strings, each of which is one token, and a prefix that ends inside one
+has its characters as ordinary text.
+
+Null texts count as empty; empty texts have no tokens; an empty table gives no rows;
+repeated rows are counted each. The time is linear in a text, white space or none,
+except that a pre-token costs its bytes times the longest token; memory follows the
+longest text of a batch. Of the input's columns only the id and the text are read,
+so the others may have any name.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,68 +32,73 @@ from pyspark.sql import functions as F
 
 from tributary.llm.tokens import PATTERN, WHITE, byte_bpe
 
-_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 _PIECE = regex.compile(PATTERN)
-_RUN = re.compile(f"[{WHITE}]*")
+#: A run of white space whose last character goes to the next pre-token.
+_RUN = re.compile(f"[{WHITE}]{{2,}}(?=[^{WHITE}])")
+#: Distinct pre-tokens whose counts a task remembers, and characters of the longest.
+KNOWN, LONGEST = 400_000, 64
 
 
 class PrefixTable:
-    """Answers counts and truncations of one text from its stored counts, encoding nothing again but one segment's pairs."""
+    """The token count of every prefix of one text, by code points; answers counts and truncations without encoding."""
 
     def __init__(self, bpe, text: str):
-        self.bpe, self.text = bpe, text
-        self.special = next((s for s in bpe.special if s in text), None)
-        ids = bpe.ids(text)
-        self.n_tokens = len(ids)
-        self._ends = np.cumsum(bpe.lengths[ids]) if self.n_tokens else np.zeros(0, dtype=np.int64)
-        self._cuts: list[int] | None = None
-
-    def _index(self) -> None:
-        """Code-point offsets of the cuts and the token counts there."""
-        if self._cuts is None:
-            self._cuts = [0] + [m.start() for m in _CUT.finditer(self.text)]
-            sizes = [len(self.text[a:b].encode()) for a, b in zip(self._cuts, self._cuts[1:])]
-            self._at = [0, *np.searchsorted(self._ends, np.cumsum(sizes), side="right").tolist()] if sizes else [0]
-
-    def _segment(self, k: int) -> tuple[int, list[int]]:
-        """Start of segment k and the count of each of its prefixes, by code points, shortest first."""
-        a = self._cuts[k]
-        b = self._cuts[k + 1] if k + 1 < len(self._cuts) else len(self.text)
-        return a, [self._at[k] + n for n in segment_counts(self.bpe, self.text[a:b])]
+        self.counts = np.concatenate([np.zeros(1, np.int64), *parts_counts(bpe, text)])
+        self.n_tokens = int(self.counts[-1])
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` code points."""
-        if chars <= 0:
-            return 0
-        if chars >= len(self.text):
-            return self.n_tokens
-        self._index()
-        a, counts = self._segment(bisect_right(self._cuts, chars - 1) - 1)
-        return counts[chars - a - 1]
+        return int(self.counts[min(max(chars, 0), len(self.counts) - 1)])
 
     def longest(self, limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens."""
-        if self.n_tokens <= limit:
-            return len(self.text)
-        self._index()
-        a, counts = self._segment(bisect_right(self._at, limit) - 1)
-        return a + max((i + 1 for i, n in enumerate(counts) if n <= limit), default=0)
-
-
-def segment_counts(bpe, seg: str) -> list[int]:
-    """Token count of every prefix of a segment (white space, then none): the base before its pre-token, plus the programme inside it."""
-    if any(s in seg for s in bpe.special):
-        return [len(bpe.ids(seg[:i])) for i in range(1, len(seg) + 1)]
-    out, base = [], 0
-    for m in _PIECE.finditer(seg):
-        piece = m.group()
-        out += [base + n for n in piece_counts(bpe, piece)]
-        base = out[-1]
-    if base != len(bpe.ids(seg)):  # the two regex engines disagree on a code point newer than one of them
-        return [len(bpe.ids(seg[:i])) for i in range(1, len(seg) + 1)]
-    run = _RUN.match(seg).end()
-    if run > 1:  # a prefix that ends inside the white space is one pre-token
-        out[:run] = piece_counts(bpe, seg[:run])
+        return len(self.counts) - 1 - int(np.argmax(self.counts[::-1] <= limit))
+
+
+def parts_counts(bpe, text: str) -> list[np.ndarray]:
+    """Counts of a text's prefixes in order, in parts that end at special strings."""
+    out, at, base = [], 0, 0
+    for m in special_strings(bpe).finditer(text) if bpe.special else ():
+        plain = text[at : m.start()]
+        own = plain_counts(bpe, plain)
+        # inside the string, the part before and what there is of it are ordinary text
+        inside = plain_counts(bpe, plain + m.group())[len(plain) : -1]
+        base_after = base + (int(own[-1]) if len(own) else 0) + 1
+        out += [base + own, base + inside, np.array([base_after])]
+        at, base = m.end(), base_after
+    out.append(base + plain_counts(bpe, text[at:]))
+    return out
+
+
+def special_strings(bpe) -> re.Pattern:
+    if not hasattr(bpe, "_specials"):
+        bpe._specials = re.compile("|".join(re.escape(s) for s in sorted(bpe.special, key=len, reverse=True)))
+    return bpe._specials
+
+
+def plain_counts(bpe, text: str) -> np.ndarray:
+    """Count of every prefix of a text without special strings, shortest first, the empty one left out."""
+    known = bpe.__dict__.setdefault("_known", {})
+    found = []
+    for piece in _PIECE.findall(text):
+        counts = known.get(piece)
+        if counts is None:
+            counts = np.array(piece_counts(bpe, piece), dtype=np.int64)
+            if len(piece) <= LONGEST:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[piece] = counts
+        found.append(counts)
+    if not found:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(found)
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    ends = np.cumsum(sizes)
+    totals = flat[ends - 1]
+    out = flat + np.repeat(np.cumsum(totals) - totals, sizes)
+    for m in _RUN.finditer(text):  # a prefix that ends with the run has all of it as one pre-token
+        before = int(out[m.start() - 1]) if m.start() else 0
+        out[m.end() - 1] = before + piece_counts(bpe, m.group())[-1]
     return out
 
 
@@ -143,12 +155,10 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(path)
         for pdf in it:
-            rows = []
-            for text in pdf["text"]:
-                table = PrefixTable(bpe, text)
-                rows.append((len(text.encode()), table.n_tokens, table.n_tokens > limit, table.longest(limit)))
-            n = np.array([r[:2] + r[3:] for r in rows], dtype=np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": n[:, 0], "n_tokens": n[:, 1], "over_limit": [r[2] for r in rows], "fit_chars": n[:, 2]})
+            tables = (PrefixTable(bpe, text) for text in pdf["text"])
+            rows = np.array([(t.n_tokens, t.longest(limit)) for t in tables], dtype=np.int64).reshape(-1, 2)
+            n_bytes = [len(text.encode()) for text in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "n_bytes": n_bytes, "n_tokens": rows[:, 0], "over_limit": rows[:, 0] > limit, "fit_chars": rows[:, 1]})
 
     src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = src.mapInPandas(batches, "id string, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
