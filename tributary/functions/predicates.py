@@ -10,6 +10,7 @@ which may be null where it is false and so still reaches the Parquet scan; and
 from __future__ import annotations
 
 import datetime
+import decimal
 import functools
 import operator
 from collections.abc import Callable
@@ -47,7 +48,7 @@ def family(kind: T.DataType) -> str:
 def family_of(value: Any) -> str:
     if isinstance(value, bool):
         return "boolean"
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, decimal.Decimal)):
         return "number"
     if isinstance(value, (datetime.datetime, datetime.date)):
         return "timestamp"

@@ -100,6 +100,18 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "key", "full").withColumn("change", change).where("change is not null").select("key", "change", "before", "after")
 
 
+def between(log: DataFrame, before: Column, after: Column) -> DataFrame:
+    """The diff of a log's folds at two points, each given by which rows it has (the first's are among the second's): one aggregate, no join."""
+    rows = log.where(F.col("op").isin("put", "delete") & after)
+    at = F.struct("seq", "tx_pos") if "tx_pos" in log.columns else F.col("seq")
+    last = lambda known: F.max_by(F.struct("op", "value"), F.when(known, at))
+    both = rows.groupBy("key").agg(last(before).alias("b"), last(F.lit(True)).alias("a"))
+    in_b, in_a = F.coalesce(F.col("b.op") == "put", F.lit(False)), F.col("a.op") == "put"
+    old, new = F.when(in_b, F.col("b.value")), F.when(in_a, F.col("a.value"))
+    change = F.when(in_a & ~in_b, "added").when(in_b & ~in_a, "removed").when(in_a & in_b & ~old.eqNullSafe(new), "changed")
+    return both.select("key", change.alias("change"), old.alias("before"), new.alias("after")).where("change is not null")
+
+
 @dataclass(frozen=True)
 class Delivered:
     changes: DataFrame
@@ -121,10 +133,7 @@ def since(log: DataFrame, after_commit: int, limit: int, horizon: int = 0) -> De
     upto = ahead.agg(F.max("commit_id")).first()[0]
     if upto is None:
         return Delivered(diff(fold(log.where("false")), fold(log.where("false"))), after_commit)
-    window = log.where((F.col("commit_id") > after_commit) & (F.col("commit_id") <= upto))
-    touched = window.where(F.col("op").isin("put", "delete")).select("key").distinct()
-    earlier = log.where(F.col("commit_id") <= after_commit).join(touched, "key", "left_semi")  # only the keys that moved are folded
-    return Delivered(diff(fold(earlier), fold(earlier.unionByName(window))), upto)
+    return Delivered(between(log, F.col("commit_id") <= after_commit, F.col("commit_id") <= upto), upto)
 
 
 def touches_rows() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Relational type names, the value kind of each, and whether the mapping loses something.
@@ -98,20 +98,29 @@ def verify_counts(source: DataFrame, copy: DataFrame) -> DataFrame:
     return source.agg(F.count("*").alias("source_rows")).crossJoin(copy.agg(F.count("*").alias("copy_rows")))  # one row each
 
 
+#: Slices that a manifest is cut into where each must know what those before it reach.
+SLICES = 4096
+
+
 def manifest_gaps(segments: DataFrame) -> DataFrame:
-    """Runs of sequence numbers that no archived segment covers: (gap_from, gap_to). segments: first_seq, last_seq."""
-    from pyspark.sql import Window
+    """Runs of sequence numbers that no archived segment covers: (gap_from, gap_to). segments: first_seq, last_seq.
 
-    w = Window.orderBy("first_seq")  # a manifest has a row for each segment
-    reach = F.max("last_seq").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return segments.withColumn("reach", reach).where(F.col("first_seq") > F.col("reach") + 1).select((F.col("reach") + 1).alias("gap_from"), (F.col("first_seq") - 1).alias("gap_to"))
+    The running reach is taken inside slices of equal width; what the slices before
+    reach comes from a table of SLICES rows at most.
+    """
+    span = segments.agg(F.min("first_seq").alias("low"), F.max("first_seq").alias("high")).first()
+    if span["low"] is None:
+        return segments.select(F.col("first_seq").alias("gap_from"), F.col("last_seq").alias("gap_to")).where("false")
+    width = max(1, -(-(span["high"] - span["low"] + 1) // SLICES))
+    sliced = segments.withColumn("slice", F.floor((F.col("first_seq") - span["low"]) / width))
+    own = F.max("last_seq").over(Window.partitionBy("slice").orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sliced.groupBy("slice").agg(F.max("last_seq").alias("last")).select("slice", F.max("last").over(earlier).alias("carried"))
+    reach = sliced.withColumn("own", own).join(carried, "slice").withColumn("reach", F.greatest("own", "carried"))  # greatest skips nulls
+    return reach.where(F.col("first_seq") > F.col("reach") + 1).select((F.col("reach") + 1).alias("gap_from"), (F.col("first_seq") - 1).alias("gap_to"))
 
 
 def expired(segments: DataFrame, before_ms: int) -> DataFrame:
     """Segments that retention may drop: a run of old ones from the start, never the last one."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("first_seq")
-    old = F.min((F.col("archived_ms") < before_ms).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    newest = F.max("first_seq").over(Window.partitionBy())
-    return segments.withColumn("old", old).withColumn("newest", newest).where("old and first_seq < newest").drop("old", "newest")
+    stop = segments.agg(F.min(F.when(F.col("archived_ms") >= before_ms, F.col("first_seq"))).alias("young"), F.max("first_seq").alias("newest"))
+    return segments.crossJoin(F.broadcast(stop)).where("first_seq < newest and (young is null or first_seq < young)").drop("young", "newest")  # one row

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.lineage import cut
+
 ZERO = "0" * 64
 
 
@@ -46,6 +48,34 @@ def chain_breaks(log: DataFrame) -> DataFrame:
     return log.where(F.col("prev_hash") != ZERO).join(log.select(F.col("entry_hash").alias("prev_hash")).distinct(), "prev_hash", "left_anti")
 
 
+def linked_hash(prev: str, *fields: str) -> Column:
+    """The same for the rows of a log: the hash that an entry ought to have."""
+    return F.sha2(F.unhex(prefixed(F.lit("chain"), F.col(prev), *map(F.col, fields))), 256)
+
+
+def chain_altered(log: DataFrame, *fields: str) -> DataFrame:
+    """Entries whose fields or predecessor were changed under an old hash: each hash is computed again in the scan."""
+    return log.where(~F.col("entry_hash").eqNullSafe(linked_hash("prev_hash", *fields)))
+
+
+def chain_forks(log: DataFrame) -> DataFrame:
+    """(branch_id, prev_hash, entries) of predecessors that several entries of one branch claim: an entry was put in or dealt twice."""
+    return log.groupBy("branch_id", "prev_hash").agg(F.count("*").alias("entries")).where("entries > 1")
+
+
+def digest_parts(*fields: str) -> list[Column]:
+    """Aggregates of a digest of a set of rows in any order, for commits too large to hash in one place: the rows' number and the sums of four parts of their hashes."""
+    one = F.sha2(F.unhex(prefixed(F.lit("row"), *map(F.col, fields))), 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(18,0)")), F.lit(0)) for k in range(4)]
+    return [F.concat_ws("|", F.count("*"), *parts).alias("digest")]
+
+
+def local_digest(rows: list[tuple]) -> str:
+    """The same of rows at hand; a missing field counts as empty."""
+    hashes = [_hash("row", *("" if v is None else str(v) for v in r)) for r in rows]
+    return "|".join(str(x) for x in (len(rows), *(sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4))))
+
+
 def leaves(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """(pos, key, hash) of a keyed table's leaves in key order, one for each key.
 
@@ -53,7 +83,8 @@ def leaves(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     those before it, so no task sees the whole table.
     """
     one = df.groupBy(F.col(key).alias("key")).agg(F.min(value).alias("value"))
-    ranged = one.repartitionByRange("key").withColumn("part", F.spark_partition_id()).select("key", "part", leaf_hash(F.col("key"), F.col("value")).alias("hash")).checkpoint()
+    ranged = one.repartitionByRange("key").withColumn("part", F.spark_partition_id()).select("key", "part", leaf_hash(F.col("key"), F.col("value")).alias("hash"))
+    ranged = cut(ranged)
     before = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each range
     inside = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
@@ -70,9 +101,10 @@ def next_level(level: DataFrame) -> DataFrame:
 def merkle_levels(df: DataFrame, key: str = "key", value: str = "value") -> list[DataFrame]:
     """Leaf level first; log2(n) grouped passes, each half the size, lineage cut in between."""
     first = leaves(df, key, value)
-    out, n = [first.checkpoint()], first.count()
+    out = [cut(first)]
+    n = out[0].count()
     while n > 1:
-        out.append(next_level(out[-1].select("pos", "hash")).checkpoint())
+        out.append(cut(next_level(out[-1].select("pos", "hash"))))
         n = -(-n // 2)
     return out
 

@@ -84,43 +84,51 @@ def rationale() -> Column:
     )
 
 
-def breaker(writes: DataFrame, policy: Policy, scope: str = "scope", at: str = "at_ms", rows: str = "rows", seq: str = "seq") -> DataFrame:
-    """Adds window_rows (rows of the scope in the window up to this write, in arrival order) and tripped, which latches.
+def in_slices(rows: DataFrame, at: str, width: int) -> DataFrame:
+    """Each row in the slice of its time and, with __later = 1, in the next: a window of ``width`` back from any row lies in the row's own slice, whatever the size of its scope."""
+    own = F.floor(F.col(at) / width)
+    return rows.select("*", F.posexplode(F.array(own, own + 1)).alias("__later", "__slice"))
+
+
+def window_totals(writes: DataFrame, policy: Policy, scope: str, at: str, rows: str, seq: str) -> DataFrame:
+    """Adds __rows: rows of the scope in the window up to each write, in arrival order.
 
     A sample has left when its time plus the window is at or before now. Running
     totals by arrival order less the total at the last sample that has left make
-    the window sum, so equal times do not count later writes. Writes after the first
-    trip are all tripped. Times do not fall with seq within a scope.
+    the window sum, so equal times do not count later writes. Times do not fall
+    with seq within a scope.
     """
-    arrival = Window.partitionBy(scope).orderBy(seq)
-    totals = writes.withColumn("__run", F.sum(rows).over(arrival.rowsBetween(Window.unboundedPreceding, 0)))
-    left = Window.partitionBy(scope).orderBy(at).rangeBetween(Window.unboundedPreceding, -policy.window_ms)
-    inside = totals.withColumn("window_rows", F.col("__run") - F.coalesce(F.max("__run").over(left), F.lit(0)))
-    over = F.max((F.col("window_rows") > policy.ceiling).cast("int")).over(arrival.rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("tripped", over == 1).drop("__run")
+    w = Window.partitionBy(scope, "__slice")
+    totals = in_slices(writes, at, policy.window_ms).withColumn("__run", F.sum(rows).over(w.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
+    gone = F.max("__run").over(w.orderBy(at).rangeBetween(Window.unboundedPreceding, -policy.window_ms))
+    return totals.withColumn("__rows", F.col("__run") - F.coalesce(gone, F.lit(0))).where("__later = 0").drop("__later", "__slice", "__run")
 
 
-def trips(writes: DataFrame, policy: Policy, scope: str = "scope", at: str = "at_ms", rows: str = "rows", seq: str = "seq", slice_ms: int | None = None) -> DataFrame:
-    """First write over the ceiling of each scope: (scope, seq).
+def trips(writes: DataFrame, policy: Policy, scope: str = "scope", at: str = "at_ms", rows: str = "rows", seq: str = "seq") -> DataFrame:
+    """First write over the ceiling of each scope: (scope, seq)."""
+    totals = window_totals(writes, policy, scope, at, rows, seq)
+    return totals.where(F.col("__rows") > policy.ceiling).groupBy(scope).agg(F.min(seq).alias(seq))
 
-    For scopes of any size: writes are cut by time into slices of the window's
-    length and each goes to its own slice and the next, so no window spans a whole
-    scope.
+
+def breaker(writes: DataFrame, policy: Policy, scope: str = "scope", at: str = "at_ms", rows: str = "rows", seq: str = "seq") -> DataFrame:
+    """Adds window_rows (rows of the scope in the window up to this write, in arrival order) and tripped, which latches.
+
+    The write that trips is counted; those after it are refused and the window is
+    empty (0). The first trip of each scope, one row, joins back to the writes.
     """
-    width = slice_ms or policy.window_ms
-    own = F.floor(F.col(at) / width)
-    sliced = writes.select("*", F.posexplode(F.array(own, own + 1)).alias("__later", "__slice"))
-    w = Window.partitionBy(scope, "__slice")
-    totals = sliced.withColumn("__run", F.sum(rows).over(w.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
-    gone = F.max("__run").over(w.orderBy(at).rangeBetween(Window.unboundedPreceding, -policy.window_ms))
-    inside = totals.withColumn("__rows", F.col("__run") - F.coalesce(gone, F.lit(0)))
-    return inside.where((F.col("__later") == 0) & (F.col("__rows") > policy.ceiling)).groupBy(scope).agg(F.min(seq).alias(seq))
+    totals = window_totals(writes, policy, scope, at, rows, seq)
+    first = totals.where(F.col("__rows") > policy.ceiling).groupBy(scope).agg(F.min(seq).alias("__trip"))
+    out = totals.join(first, scope, "left")
+    tripped = F.coalesce(F.col(seq) >= F.col("__trip"), F.lit(False))
+    after = F.coalesce(F.col(seq) > F.col("__trip"), F.lit(False))
+    return out.withColumn("window_rows", F.when(after, F.lit(0)).otherwise(F.col("__rows"))).withColumn("tripped", tripped).drop("__rows", "__trip")
 
 
 def rolling_spend(events: DataFrame, ceiling: int, scope: str = "scope", at: str = "at_ms", cost: str = "cost", window_ms: int = DAY_MS) -> DataFrame:
     """Adds spent (the scope's cost within the window before and at each event) and over. Review budgets and query spend are both this."""
-    w = Window.partitionBy(scope).orderBy(at).rangeBetween(-(window_ms - 1), 0)
-    return events.withColumn("spent", F.sum(cost).over(w)).withColumn("over", F.col("spent") > ceiling)
+    w = Window.partitionBy(scope, "__slice").orderBy(at).rangeBetween(-(window_ms - 1), 0)
+    out = in_slices(events, at, window_ms).withColumn("spent", F.sum(cost).over(w)).where("__later = 0").drop("__later", "__slice")
+    return out.withColumn("over", F.col("spent") > ceiling)
 
 
 def review_holds(proposals: DataFrame, now_ms: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,9 @@ for _op, _sql, _make in (
     ("gt", "o_totalprice > 90000", lambda: P.gt("o_totalprice", 90000)),
     ("gte", "o_custkey >= 700", lambda: P.gte("o_custkey", 700)),
     ("in", "o_orderpriority IN ('1-URGENT', '5-LOW')", lambda: P.is_in("o_orderpriority", ["1-URGENT", "5-LOW", None])),
-    ("isnull", "o_orderstatus IS NULL OR TRUE", lambda: P.any_of(P.is_null("o_orderstatus"), P.is_null("no_such"))),
+    ("true", "TRUE", lambda: P.everything()),
+    ("missing_col", "TRUE", lambda: P.is_null("no_such")),
+    ("decimal", "o_totalprice > 90000.5", lambda: P.gt("o_totalprice", decimal.Decimal("90000.5"))),
     ("and_or", "(o_orderstatus = 'F' OR o_orderstatus = 'O') AND o_totalprice > 50000", lambda: P.all_of(P.any_of(P.eq("o_orderstatus", "F"), P.eq("o_orderstatus", "O")), P.gt("o_totalprice", 50000))),
     ("not", "NOT (o_orderstatus = 'F' OR o_custkey > 700)", lambda: P.not_(P.any_of(P.eq("o_orderstatus", "F"), P.gt("o_custkey", 700)))),
     ("type_mismatch", "FALSE", lambda: P.eq("o_custkey", "700")),
@@ -91,6 +94,11 @@ def _events_with_nulls(spark, d) -> DataFrame:
     return keyed(spark, d, "events").withColumn("big", F.when(F.col("value") > 100, F.col("value")))
 
 
+@query("SELECT event_id FROM events WHERE (CASE WHEN value > 100 THEN value END) IS NULL")
+def filter_isnull(spark, d):
+    return R.where(_events_with_nulls(spark, d), P.is_null("big")).select("event_id")
+
+
 @query("SELECT event_id FROM events WHERE NOT COALESCE((CASE WHEN value > 100 THEN value END) > 150, FALSE)")
 def filter_not_twovalued(spark, d):
     return R.where(_events_with_nulls(spark, d), P.not_(P.gt("big", 150))).select("event_id")
@@ -263,8 +271,7 @@ DIFF_SQL = (
 
 @query(f"{LOG_SQL}, b AS ({FOLD_SQL.format(t='(SELECT * FROM log WHERE seq <= 5000)')}), a AS ({FOLD_SQL.format(t='log')}) {DIFF_SQL}")
 def row_diff(spark, d):
-    log = events_log(spark, d)
-    return folds.diff(folds.fold(log, 5000), folds.fold(log))
+    return folds.between(events_log(spark, d), F.col("seq") <= 5000, F.lit(True))
 
 
 @query(f"{LOG_SQL}, b AS ({FOLD_SQL.format(t='(SELECT * FROM log WHERE seq <= 3999)')}), a AS ({FOLD_SQL.format(t='(SELECT * FROM log WHERE seq <= 4499)')}) {DIFF_SQL}")
@@ -347,15 +354,22 @@ def crdt_rejected(spark, d):
 # Merge: events after a cut, odd ones on a branch ---------------------------------------------
 
 SIDES_SQL = (
-    "WITH e AS (SELECT event_id AS seq, 'u:' || (user_id % 300) AS key, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(FLOOR(value / 50) AS BIGINT) END AS v FROM events WHERE event_id > 9500), "
-    "s AS (SELECT key, arg_max(COALESCE(v, -1), seq) AS v FROM e WHERE seq % 2 = 1 GROUP BY key), t AS (SELECT key, arg_max(COALESCE(v, -1), seq) AS v FROM e WHERE seq % 2 = 0 GROUP BY key), "
-    "m AS (SELECT COALESCE(s.key, t.key) AS key, CASE WHEN t.key IS NULL THEN 'apply' WHEN s.key IS NULL THEN 'keep' WHEN s.v = t.v THEN 'same' ELSE 'conflict' END AS verdict FROM s FULL JOIN t ON s.key = t.key) "
+    "WITH e AS (SELECT event_id AS seq, 'u:' || user_id || ':' || (event_id % 17) AS key, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(FLOOR(value / 50) AS BIGINT) END AS v, "
+    "user_id % 10 = 0 OR (user_id % 10 = 1 AND event_id % 2 = 1) AS c FROM events WHERE event_id > (SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM events)), "
+    "s AS (SELECT key, BOOL_OR(c) AS c, arg_max(COALESCE(v, -1), seq) AS v FROM e WHERE seq % 2 = 1 GROUP BY key), t AS (SELECT key, BOOL_OR(c) AS c, arg_max(COALESCE(v, -1), seq) AS v FROM e WHERE seq % 2 = 0 GROUP BY key), "
+    "m AS (SELECT COALESCE(s.key, t.key) AS key, CASE WHEN t.key IS NULL THEN 'apply' WHEN s.key IS NULL THEN 'keep' WHEN s.c AND t.c THEN 'converge' WHEN s.c OR t.c THEN 'conflict' WHEN s.v = t.v THEN 'same' ELSE 'conflict' END AS verdict FROM s FULL JOIN t ON s.key = t.key) "
 )
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id > 9500")
-    rows = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u:"), F.col("user_id") % 300).alias("key"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.floor(F.col("value") / 50).alias("value"), F.lit(None).cast("string").alias("crdt_kind"))
+    """All events after the middle one, odd ones on a branch; users ending in 0 count on both sides, those ending in 1 on the branch only."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    counts = (F.col("user_id") % 10 == 0) | ((F.col("user_id") % 10 == 1) & (F.col("event_id") % 2 == 1))
+    op = F.when(counts, "crdt").when(F.col("event_type") == "error", "delete").otherwise("put")
+    rows = e.where(F.col("event_id") > (low + high) // 2).select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("u:"), "user_id", F.lit(":"), F.col("event_id") % 17).alias("key"), op.alias("op"), F.floor(F.col("value") / 50).alias("value"), F.when(counts, "counter").alias("crdt_kind")
+    )
     return rows.where("seq % 2 = 1"), rows.where("seq % 2 = 0")
 
 
@@ -465,7 +479,8 @@ def _writes(spark, d) -> DataFrame:
     "WITH w AS (SELECT event_type AS scope, event_id AS id, (epoch_us(ts) // 1000) AS at_ms, CAST(FLOOR(value) AS BIGINT) AS n FROM events), "
     "r AS (SELECT *, SUM(n) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) AS run FROM w), "
     "g AS (SELECT *, run - COALESCE(MAX(run) OVER (PARTITION BY scope ORDER BY at_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 600000 PRECEDING), 0) AS win FROM r) "
-    "SELECT scope, id, CAST(win AS BIGINT) AS window_rows, MAX(CASE WHEN win > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) = 1 AS tripped FROM g"
+    "SELECT scope, id, CAST(CASE WHEN COALESCE(MAX(CASE WHEN win > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 0 ELSE win END AS BIGINT) AS window_rows, "
+    "MAX(CASE WHEN win > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY at_ms, id ROWS UNBOUNDED PRECEDING) = 1 AS tripped FROM g"
 )
 def breaker_rolling(spark, d):
     return safety.breaker(_writes(spark, d), BREAKER).select("scope", "id", "window_rows", "tripped")
@@ -520,12 +535,40 @@ def sync_conflicts(spark, d):
     return proofs.sync_conflicts(log.where("seq % 10 <> 4"), log.where("seq % 10 <> 3"))
 
 
-@query()
+#: SQL of a length-prefixed field of a hashed record.
+FIELD_SQL = "lpad(to_hex(strlen({0})), 16, '0') || hex({0})"
+NODE_SQL = "sha256(unhex('0000000000000004' || hex('{kind}') || " + FIELD_SQL.format("{a}") + " || " + FIELD_SQL.format("{b}") + "))"
+
+
+@query(
+    f"WITH RECURSIVE t(l) AS (SELECT list({NODE_SQL.format(kind='leaf', a='CAST(o_orderkey AS VARCHAR)', b='o_orderstatus')} ORDER BY CAST(o_orderkey AS VARCHAR)) FROM orders UNION ALL "
+    f"SELECT list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN {NODE_SQL.format(kind='node', a='l[2 * i + 1]', b='l[2 * i + 2]')} ELSE l[2 * i + 1] END) FROM t WHERE len(l) > 1) "
+    "SELECT l[1] AS root FROM t WHERE len(l) = 1"
+)
 def merkle_root(spark, d):
-    rows = keyed(spark, d, "region").select(F.col("_key").cast("string").alias("key"), F.col("r_name").alias("value"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"))
     return spark.createDataFrame([(proofs.merkle_root(rows),)], "root string")
 
 
+def _chain(spark, d) -> DataFrame:
+    """Each event as an entry with its hash; every 997th was changed afterwards, every 1009th put in beside another."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_type").alias("op"), F.concat(F.lit("u:"), "user_id").alias("key"))
+    prev = F.sha2(F.when(F.col("seq") % 1009 == 7, F.col("seq") - 2).otherwise(F.col("seq") - 1).cast("string"), 256)
+    log = e.withColumn("branch_id", F.lit(0).cast("long")).withColumn("prev_hash", prev)
+    log = log.withColumn("entry_hash", proofs.linked_hash("prev_hash", "op", "key"))
+    return log.withColumn("op", F.when(F.col("seq") % 997 == 5, F.concat("op", F.lit("!"))).otherwise(F.col("op")))
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_id % 997 = 5")
+def chain_altered(spark, d):
+    return proofs.chain_altered(_chain(spark, d), "op", "key").select("seq")
+
+
+@query("SELECT COUNT(*) AS forks FROM events a JOIN events b ON b.event_id = a.event_id - 1 WHERE a.event_id % 1009 = 7")
+def chain_forks(spark, d):
+    return proofs.chain_forks(_chain(spark, d)).agg(F.count("*").alias("forks"))
+
+
 @query("SELECT event_type AS cell, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS n FROM events")
 def parse_cells(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -586,10 +629,10 @@ def lagging_regions(spark, d):
     return inspect.lagging(regions, 1_706_700_000_000).select("region")
 
 
-@query("SELECT o_orderkey * 10 - 10 AS gap_from, o_orderkey * 10 - 1 AS gap_to FROM orders o WHERE o_orderkey > (SELECT MIN(o_orderkey) FROM orders) + 1 AND (o_orderkey - 1) % 7 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey <= 700 ORDER BY 1")
+@query("SELECT o_orderkey * 10 - 10 AS gap_from, o_orderkey * 10 - 1 AS gap_to FROM orders o WHERE o_orderkey > (SELECT MIN(o_orderkey) FROM orders) + 1 AND (o_orderkey - 1) % 7 = 0 AND o_orderkey % 7 <> 0")
 def archive_gaps(spark, d):
-    """Segments of ten entries for each order key up to 700, those of every seventh lost."""
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 700 and o_orderkey % 7 <> 0")
+    """Segments of ten entries for each order key, those of every seventh lost."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 <> 0")
     return migration.manifest_gaps(o.select((F.col("o_orderkey") * 10).alias("first_seq"), (F.col("o_orderkey") * 10 + 9).alias("last_seq")))
 
 
@@ -604,3 +647,114 @@ def type_violations(spark, d):
 def unparseable_cells(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.when((F.col("event_id") % 5 == 0) & (F.col("event_type") == "view"), "x").otherwise(F.col("event_id").cast("string")).alias("view"))
     return migration.unparseable(e, {"view": "Int"}).select("column", "bad")
+
+
+# Rules and reports that need a history of their own ------------------------------------------
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_type <> 'click'")
+def row_ops(spark, d):
+    op = F.when(F.col("event_type") == "signup", "schema").when(F.col("event_type") == "click", "branch").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "put").otherwise("merge")
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), op.alias("op")).where(folds.touches_rows()).select("seq")
+
+
+@query("SELECT MAX(event_id) AS commit_id FROM events WHERE event_type = 'click'")
+def branch_point(spark, d):
+    log = events_log(spark, d).withColumn("op", F.when(F.col("event_type") == "click", "branch").otherwise(F.col("op")))
+    return spark.createDataFrame([(folds.branch_point(log),)], "commit_id long")
+
+
+@query("SELECT (MIN(event_id) + MAX(event_id)) // 2 AS horizon FROM events")
+def feed_gap(spark, d):
+    """A cursor behind the horizon gets the horizon, not changes."""
+    log = events_log(spark, d)
+    low, high = log.agg(F.min("commit_id"), F.max("commit_id")).first()
+    found = folds.since(log, low, 100, horizon=(low + high) // 2)
+    return spark.createDataFrame([(found.horizon,)], "horizon long")
+
+
+FIELDS_SQL = "WITH m AS (SELECT (MIN(event_id) + MAX(event_id)) // 2 AS cut FROM events) "
+
+
+def _fields(spark, d) -> tuple[DataFrame, int]:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    return e.select(F.concat(F.lit("u:"), "user_id").alias("key"), F.col("event_type").alias("column"), F.col("event_id").alias("seq")), (low + high) // 2
+
+
+@query(FIELDS_SQL + "SELECT event_id AS seq FROM events, m WHERE NOT (event_type = 'view' AND event_id <= cut) AND NOT (event_type = 'click' AND event_id <= cut // 2)")
+def drop_columns(spark, d):
+    fields, cut = _fields(spark, d)
+    drops = spark.createDataFrame([("u", "view", cut), ("u", "view", 3), ("u", "click", cut // 2), ("other", "error", cut)], "table string, column string, seq long")
+    return folds.drop_columns(fields, drops).select("seq")
+
+
+@query(FIELDS_SQL + "SELECT event_id AS seq, CASE WHEN event_type = 'view' AND event_id < cut THEN 'seen' WHEN event_type = 'click' AND event_id < cut // 2 THEN 'hit' ELSE event_type END AS \"column\" FROM events, m")
+def rename_columns(spark, d):
+    fields, cut = _fields(spark, d)
+    renames = spark.createDataFrame([("u", "view", "seen", cut), ("u", "click", "hit", cut // 2), ("other", "error", "oops", cut)], "table string, old string, new string, seq long")
+    return folds.rename_columns(fields, renames).select("seq", "column")
+
+
+PROPOSED_SQL = (
+    "WITH p AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS ms, CASE event_type WHEN 'signup' THEN 'auto_apply' WHEN 'error' THEN 'shadow_validate' ELSE 'confirm' END AS gate, event_id % 3 = 0 AS done FROM events), n AS (SELECT (MIN(ms) + MAX(ms)) // 2 AS now FROM p) "
+)
+
+
+def _proposals(spark, d) -> tuple[DataFrame, int]:
+    gate = F.when(F.col("event_type") == "signup", "auto_apply").when(F.col("event_type") == "error", "shadow_validate").otherwise("confirm")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), gate.alias("gate"), F.unix_millis(F.col("ts").cast("timestamp")).alias("proposed_ms"))
+    rows = rows.withColumn("settled_ms", F.when(F.col("id") % 3 == 0, F.col("proposed_ms") + 3_600_000))
+    low, high = rows.agg(F.min("proposed_ms"), F.max("proposed_ms")).first()
+    return rows, (low + high) // 2
+
+
+@query(
+    PROPOSED_SQL + ", s AS (SELECT id, ms, gate, CASE WHEN done AND ms + 3600000 <= now THEN 'settled' WHEN ms + 14400000 <= now THEN 'expired' ELSE 'held' END AS state, now FROM p, n WHERE ms <= now) "
+    "SELECT state, COUNT(*) AS n, CAST(SUM(CASE WHEN state <> 'expired' AND ms + 86400000 > now THEN CASE gate WHEN 'auto_apply' THEN 0 WHEN 'confirm' THEN 1 ELSE 5 END ELSE 0 END) AS BIGINT) AS cost FROM s GROUP BY 1"
+)
+def review_budget(spark, d):
+    rows, now = _proposals(spark, d)
+    return safety.review_holds(rows, now).groupBy("state").agg(F.count("*").alias("n"), F.sum("cost").cast("long").alias("cost"))
+
+
+@query(
+    PROPOSED_SQL + "SELECT id, CASE WHEN gate = 'auto_apply' THEN 'applied' WHEN done AND ms + 3600000 <= now THEN CASE WHEN id % 2 = 0 THEN 'promoted' ELSE 'rejected' END "
+    "WHEN ms + CASE gate WHEN 'shadow_validate' THEN 86400000 ELSE 14400000 END <= now THEN 'expired' ELSE 'pending' END AS state FROM p, n"
+)
+def proposal_lifecycle(spark, d):
+    rows, now = _proposals(spark, d)
+    decided = rows.where("settled_ms is not null").select("id", F.when(F.col("id") % 2 == 0, "promoted").otherwise("rejected").alias("decision"), F.col("settled_ms").alias("at_ms"))
+    return safety.lifecycle(rows.drop("settled_ms"), decided, now).select("id", "state")
+
+
+@query(
+    CHANGES_SQL + "SELECT id, CASE WHEN gate = 'shadow_validate' THEN 'irreversible over ' || rows_affected || ' rows: validate on a shadow branch' "
+    "WHEN destructive THEN 'a ' || CASE WHEN change = 'rename_column' THEN 'ambiguous' ELSE 'destructive' END || ' change: confirm it' WHEN gate = 'confirm' THEN 'touches ' || rows_affected || ' rows: confirm it' ELSE 'additive and small: applied' END AS why FROM g"
+)
+def rationale(spark, d):
+    return safety.classify(_changes(spark, d), safety.DEVELOPMENT).select("id", safety.rationale().alias("why"))
+
+
+@query("WITH m AS (SELECT MAX(o_orderkey) AS newest, MIN(o_orderkey) FILTER (o_orderkey % 1000 = 999 AND o_orderkey > (SELECT MAX(o_orderkey) // 2 FROM orders)) AS young FROM orders) SELECT o_orderkey * 10 AS first_seq FROM orders, m WHERE o_orderkey < newest AND o_orderkey < young")
+def retention_expired(spark, d):
+    """Old segments up to the first young one, which is past the middle of the orders."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    half = o.agg(F.max("o_orderkey")).first()[0] // 2
+    young = (F.col("o_orderkey") % 1000 == 999) & (F.col("o_orderkey") > half)
+    segments = o.select((F.col("o_orderkey") * 10).alias("first_seq"), (F.col("o_orderkey") * 10 + 9).alias("last_seq"), F.when(young, 2_000).otherwise(1_000).cast("long").alias("archived_ms"))
+    return migration.expired(segments, 1_500).select("first_seq")
+
+
+@query("SELECT 'big' AS \"column\", CAST(NULL AS VARCHAR) AS example, 'withheld' AS refused UNION ALL SELECT 'event_type', (SELECT event_type FROM events ORDER BY event_id LIMIT 1), NULL")
+def describe_withheld(spark, d):
+    e = keyed(spark, d, "events").select("_key", "event_type", F.when(F.col("value") > 100, "x").alias("big"))
+    return inspect.describe(e, withhold=frozenset({"big"})).select("column", F.get("examples", F.lit(0)).alias("example"), "refused")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS pos, turn AS counter FROM conversations")
+def crdt_siblings(spark, d):
+    """Every turn inserted at the start: concurrent siblings, the latest first."""
+    key, zero, none = F.col("conv_id").cast("string").alias("key"), F.lit(0).cast("long"), F.lit(None).cast("long")
+    inserts = spark.read.parquet(f"{d}/conversations.parquet").select(key, F.col("turn").alias("counter"), zero.alias("replica"), none.alias("after_counter"), none.alias("after_replica"), F.col("text").alias("value"))
+    return crdt.sequence(inserts, inserts.select("key", "counter", "replica").where("false")).select("key", "pos", "counter")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.values import encode
 from tributary.operators import folds
-from tributary.operators.proofs import ZERO, chain_hash
+from tributary.operators.proofs import ZERO, chain_hash, digest_parts, local_digest
 
 LOG = "seq long, tx_pos int, branch_id long, commit_id long, op string, key string, value string, crdt_op string, crdt_kind string, amount long, replica long, author string, timestamp_ms long, prev_hash string, entry_hash string"
 
@@ -54,7 +54,7 @@ class LogStore:
             raise Refused("a transaction has rows, each of another key")
         seq, commit = last["seq"] + 1, last["commits"].get(str(branch), -1) + 1
         values = [encode(r["value"]) if "value" in r else None for r in rows]
-        mark = chain_hash(last["hash"], *(f"{r['op']}|{r['key']}|{v}" for r, v in zip(rows, values)))
+        mark = chain_hash(last["hash"], local_digest([(r["op"], r["key"], v) for r, v in zip(rows, values)]))
         full = [
             (seq, i, branch, commit, r["op"], r["key"], v, r.get("crdt_op"), r.get("crdt_kind"), r.get("amount"), branch, author, now_ms, last["hash"], mark) for i, (r, v) in enumerate(zip(rows, values))
         ]
@@ -67,7 +67,7 @@ class LogStore:
         known = self.manifest()
         last = known[-1] if known else {"seq": -1, "hash": ZERO, "commits": {}}
         seq, commit = last["seq"] + 1, last["commits"].get(str(branch), -1) + 1
-        mark = chain_hash(last["hash"], f"bulk|{seq}")
+        mark = chain_hash(last["hash"], rows.agg(*digest_parts("op", "key", "value")).first()["digest"])
         given = {"seq": seq, "tx_pos": 0, "branch_id": branch, "commit_id": commit, "replica": branch, "author": author, "timestamp_ms": now_ms, "prev_hash": last["hash"], "entry_hash": mark}
         full = rows.select("op", "key", "value").withColumns({k: F.lit(v) for k, v in given.items()})
         kinds = [c.split(" ") for c in LOG.split(", ")]
@@ -75,6 +75,20 @@ class LogStore:
         self._note({"seq": seq, "hash": mark, "commits": last["commits"] | {str(branch): commit}})
         return seq
 
+    def altered(self) -> list[int]:
+        """Commits whose rows do not give the hash that was recorded, or that do not follow the one before: one pass over the log, a row for each commit."""
+        ends = [f(c).alias(f"{n}_{c}") for c in ("prev_hash", "entry_hash") for n, f in (("low", F.min), ("high", F.max))]
+        found = {r["seq"]: r for r in self.read().groupBy("seq").agg(*digest_parts("op", "key", "value"), *ends).collect()}
+        wrong, before = [], ZERO
+        for m in self.manifest():
+            r = found.get(m["seq"])
+            mark = chain_hash(before, r["digest"] if r else local_digest([]))
+            recorded = r is None or {r["low_prev_hash"], r["high_prev_hash"]} == {before} and {r["low_entry_hash"], r["high_entry_hash"]} == {mark}
+            if m["hash"] != mark or not recorded:
+                wrong.append(m["seq"])
+            before = m["hash"]
+        return wrong
+
     def _note(self, entry: dict) -> None:
         self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/manifest")
 
