@@ -46,6 +46,51 @@ def test_articles_and_differencing(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_main_words_win_over_aside_words():
+    for opening in ("div class='content no-sidebar'", "main class='with-sidebar'", "article class='post social-share-enabled'", "div class='entry-content'", "section id=post-content class=has-sidebar"):
+        lines, zones = H.lines_of(f"<p>out<{opening}><p>text</p><div class='social-share'>b</div></{opening.split()[0]}>")
+        assert dict(zip(lines, zones)) == {"out": "o", "text": "m", "b": "b"}, opening
+    for opening in ("div class='sidebar'", "div class=cookie-notice", "article class='comment reply'", "div id=site-footer", "section class='related-posts'"):
+        assert "b" in H.lines_of(f"<{opening}>x</{opening.split()[0]}>y")[1], opening
+
+
+def plain_page(host, i, own, rng):
+    """A page without article or main elements and without names: only its neighbours tell text from template."""
+    menu = "".join(f"<div><a href=/{w}>{host} {w}</a></div>" for w in ("home", "news", "sport", "about us", "contact"))
+    foot = f"<div>All rights of {host} reserved since long ago</div><div>Terms of use</div>"
+    body = "".join(f"<div>{x}</div>" for x in own)
+    return f"<html><body>{menu}<div><div>You are here</div>{body}<div>Read more on {host}</div></div>{foot}</body></html>"
+
+
+def test_pages_without_article_elements(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for h in range(6):
+        shared = f"A paragraph that two pages of host {h} quote, word for word."
+        for i in range(2 if h == 0 else 9):
+            own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 60))) for _ in range(rng.randrange(2, 6))]
+            if h and i in (3, 6):
+                own.insert(1, shared)
+            k = len(rows)
+            rows.append((k, f"https://host{h}.example/{'en' if i % 2 else 'fr'}/{i:03d}", plain_page(f"host{h}", i, own, rng)))
+            want[k] = " ".join(own)
+    copy = len(rows)  # a copy of a page under another address
+    rows.append((copy, rows[5][1] + "?print=1#x", rows[5][2]))
+    want[copy] = want[5]
+    out = texts(spark, rows)
+    wrong = [k for k in want if out[k]["text"] != want[k]]
+    assert not wrong, (wrong[:5], out[wrong[0]]["text"], want[wrong[0]])
+    assert all(r["n_deleted"] >= 8 for r in out.values())
+    assert texts(spark, rows[5:6])[5]["text"] != want[5]  # without neighbours the template stays: differencing does the work
+
+
+def test_neighbours_across_ranges(spark):
+    rows = [(f"h{i // 40}", f"/{i:04d}", str(i), i, [i], [1], "o") for i in range(120)]
+    df = spark.createDataFrame(rows, "host string, path string, id string, rowkey long, marks array<long>, sizes array<int>, zones string")
+    out = {r["rowkey"]: sorted(x[0] for x in r["near"]) for r in H.neighbours(df).collect()}
+    assert out == {i: [j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 120 and j // 40 == i // 40] for i in range(120)}
+
+
 def test_copies_of_an_article_stay_whole(spark):
     rows = [(i, f"http://c.example/{i}", page("One", ["Same text", "again", "and again"], "foot")) for i in range(5)]
     assert {r["text"] for r in texts(spark, rows).values()} == {"One Same text again and again"}
@@ -53,7 +98,7 @@ def test_copies_of_an_article_stay_whole(spark):
 
 def test_frame_lines_inside_articles_go():
     own, zones = [9, 1, 2, 3, 8], "mmmmm"
-    assert H.deleted(own, zones, [[9, 4, 5, 6, 7, 8], [9, 14, 15, 16, 17, 18]]) == []  # 8 is not in both, 2 of 5 is a copy
+    assert H.deleted(own, zones, [[9, 4, 5, 6, 7, 8], [9, 14, 15, 16, 17, 18]]) == []  # 2 of 5 lines are a copy's
     assert H.deleted([9, *range(20, 40)], "m" * 21, [[9, 1], [9, 2]]) == [0]
 
 

@@ -1,16 +1,22 @@
 """Main text by nearest-URL page differencing (operator 10).
 
-Pages of a host are put in order of their URL paths; each is paired with the page
-before and after. Lines (blocks) of a pair are aligned by longest common
-subsequence and shared lines go: all of them outside the page's own article or
-main element; inside it those that frame it (before the first or after the last
-line of its own) and that both neighbours share. A pair whose article lines are
-mostly shared holds copies, not a template, and deletes nothing inside. Lines
-that the markup names as menus, notices, adverts, forms or comments go as well,
-and with an article or main element so does what lies outside it.
+Pages of a host are put in order of their URL paths; each is paired with up to NEAR
+pages before and after it. Lines (blocks) of a pair are aligned by longest common
+subsequence, and lines that enough neighbours share go: two of them, or the one
+where a page has no more. Elements named in the contract (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) go by markup, as they may differ from
+page to page. Where a page has an article or main element, what lies outside it goes
+too, and inside it differencing takes the lines that frame the text (before the
+first or after the last line of its own); elsewhere it takes shared lines at any
+place. A neighbour that shares most of a page's text is a copy, not another page of
+one template; it has no vote.
 
 Defined cases: null or empty html has an empty text; a null url counts as empty;
-repeated rows are compared once and returned each; ties of path go by page id.
+repeated rows are compared once and returned each; ties of path go by page id; a
+page alone on its host loses nothing to differencing; an empty table gives no rows; a
+page of any length is parsed in one task, and the table of a pair of long pages is
+halved until it fits TABLE_BITS. Of the input's columns only id, url and html are
+read, so the others may have any name.
 """
 
 from __future__ import annotations
@@ -45,6 +51,9 @@ ASIDE_WORDS = {
 }
 ASIDE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 MAIN_WORDS = {"articlebody", "article", "entry", "story", "content", "post"}
+#: Parts of a name that says how its element looks, not what it is; names of reader comments, which are articles in some markup.
+STATE_WORDS = {"no", "with", "without", "has", "is", "enabled", "disabled", "hide", "show"}
+COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -52,21 +61,32 @@ def attributes(tag: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in found}
 
 
+def named(words: str) -> tuple[bool, bool]:
+    """Whether names of a class or id attribute are those of a main container, and of boilerplate."""
+    main = aside = False
+    for name in words.lower().split():
+        parts = re.split(r"[^a-z0-9]+", name)
+        main |= name in MAIN_WORDS or bool(parts) and parts[-1] in MAIN_WORDS
+        aside |= not STATE_WORDS & set(parts) and bool(ASIDE_WORDS & set(parts)) and parts[-1] not in MAIN_WORDS
+    return main, aside
+
+
 def kind_of(name: str, tag: str) -> str:
-    """``b`` for boilerplate, ``m`` for a main container, ``w`` for one only by its words, else nothing."""
+    """``b`` for boilerplate, ``m`` for a main container, ``w`` for one only by its words, else nothing. Signs of a main container go before those of boilerplate."""
     if name in ASIDE:
         return "b"
-    if "=" in tag or "hidden" in tag:
-        at = attributes(tag)
-        words = set(re.split(r"[^a-z0-9]+", f"{at.get('class', '')} {at.get('id', '')}".lower()))
-        role = at.get("role", "").lower()
-        if name not in ("body", "html") and (words & ASIDE_WORDS or role in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden") == "true"):
-            return "b"
-        if role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody":
-            return "m"
-        if name in ("div", "section") and words & MAIN_WORDS:
-            return "m" if name in MAIN else "w"
-    return "m" if name in MAIN else ""
+    if "=" not in tag and "hidden" not in tag:
+        return "m" if name in MAIN else ""
+    at = attributes(tag)
+    role = at.get("role", "").lower()
+    main, aside = named(f"{at.get('class', '')} {at.get('id', '')}")
+    if name not in ("body", "html") and ("hidden" in at or at.get("aria-hidden") == "true"):
+        return "b"
+    if name in MAIN or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody":
+        return "b" if aside and COMMENT_WORDS & set(re.split(r"[^a-z0-9]+", at.get("class", "").lower())) else "m"
+    if name in ("div", "section") and main:
+        return "w"
+    return "b" if name not in ("body", "html") and (aside or role in ASIDE_ROLES) else ""
 
 
 def lines_of(page: str) -> tuple[list[str], str]:
@@ -219,29 +239,37 @@ def _lengths(a: list[int], b: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
-#: Share of an article's lines beyond which two pages are copies of each other.
-COPY = 0.3
+#: Pages before and after that a page is compared with.
+NEAR = 2
+#: Share of the lines of an article element, and of the characters of a page without one, beyond which two pages are copies of each other.
+COPY, COPY_CHARS = 0.3, 0.8
 
 
-def deleted(own: list[int], zones: str, others: list[list[int]]) -> list[int]:
-    """Positions of the lines that differencing takes from a page."""
-    outside, votes, n_main = set(), [], zones.count("m")
+def deleted(own: list[int], zones: str, others: list[list[int]], sizes: list[int] | None = None) -> list[int]:
+    """Positions of the lines that differencing takes from a page; sizes are the lines' characters."""
+    inside = "m" if "m" in zones else "o"
+    body = [i for i, z in enumerate(zones) if z == inside]
+    weight = sizes or [1] * len(own)
+    outside, votes = set(), []
     for other in others:
         shared = set(common(own, other))
-        outside |= {i for i in shared if zones[i] != "m"}
-        inside = {i for i in shared if zones[i] == "m"}
-        if inside and len(inside) <= COPY * n_main:
-            votes.append(inside)
-    framed: set[int] = set()
-    if len(votes) >= 2:
-        both = set.intersection(*votes)
-        main = [i for i, z in enumerate(zones) if z == "m"]
-        for order in (main, main[::-1]):
+        outside |= {i for i in shared if zones[i] != inside}
+        found = {i for i in shared if zones[i] == inside}
+        copied = len(found) > COPY * len(body) if inside == "m" else sum(weight[i] for i in found) > COPY_CHARS * sum(weight[i] for i in body)
+        if body and not copied:
+            votes.append(found)
+    gone: set[int] = set()
+    if inside == "o" and votes:
+        need = min(2, len(votes))
+        gone = {i for i in body if sum(i in v for v in votes) >= need}
+    elif len(votes) >= 2:
+        both = {i for i in body if sum(i in v for v in votes) >= 2}
+        for order in (body, body[::-1]):
             for i in order:
                 if i not in both:
                     break
-                framed.add(i)
-    return sorted(outside | framed)
+                gone.add(i)
+    return sorted(outside | gone)
 
 
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -250,6 +278,7 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
             found = [lines_of(x) for x in pdf["html"]]
             yield pd.DataFrame({
                 "id": pdf["id"], "rowkey": pdf["rowkey"], "url": pdf["url"], "lines": [x[0] for x in found], "zones": [x[1] for x in found],
+                "sizes": [list(map(len, x[0])) for x in found],
                 "marks": [[xxhash.xxh64_intdigest(line.encode()) - (1 << 63) for line in x[0]] for x in found],
             })
 
@@ -260,27 +289,33 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
         F.col(url_col).alias("url"),
         page.alias("html"),
     )
-    return src.mapInPandas(batches, "id string, rowkey long, url string, lines array<string>, zones string, marks array<long>")
+    return src.mapInPandas(batches, "id string, rowkey long, url string, lines array<string>, zones string, sizes array<int>, marks array<long>")
 
 
 def neighbours(sig: DataFrame) -> DataFrame:
-    """Adds marks of the page before and after in (host, path) order, null where the host ends.
+    """Adds ``near``: the marks of up to NEAR pages before and after in (host, path) order, of the same host.
 
     The order is by range, so a host with most pages spreads over many tasks; the
-    rows at range borders meet through a table of two rows for each range.
+    rows at range borders meet by a join on the range's number with its ends.
     """
     order = ("host", "path", "id", "rowkey")
     ranged = cut(sig.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     w = Window.partitionBy("part").orderBy(*order)
     mate = F.struct("host", "marks")
-    near = ranged.withColumn("before", F.lag(mate).over(w)).withColumn("after", F.lead(mate).over(w))
-    keys = F.struct(*order)
-    ends = ranged.groupBy("part").agg(F.min_by(mate, keys).alias("first"), F.max_by(mate, keys).alias("last"))
+    back, ahead = w.rowsBetween(-NEAR, -1), w.rowsBetween(1, NEAR)
+    near = ranged.withColumn("before", F.collect_list(mate).over(back)).withColumn("after", F.collect_list(mate).over(ahead))
+    falling = Window.partitionBy("part").orderBy(*(F.desc(c) for c in order))
+    ends = ranged.withColumn("at", F.row_number().over(w)).withColumn("to", F.row_number().over(falling)).where((F.col("at") <= NEAR) | (F.col("to") <= NEAR))
+    ordered = lambda flag, n: F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct(n, "host", "marks")))), lambda x: F.struct(x["host"], x["marks"]))
+    ends = ends.groupBy("part").agg(ordered(F.col("at") <= NEAR, "at").alias("first"), ordered(F.col("to") <= NEAR, "to").alias("last"))
     across = Window.orderBy("part")  # one row for each range
     ends = ends.select("part", F.lag("last").over(across).alias("prior"), F.lead("first").over(across).alias("next"))
-    near = near.join(F.broadcast(ends), "part", "left")  # as many rows as ranges
-    pick = lambda c: F.when(c["host"] == F.col("host"), c["marks"])
-    return near.withColumn("before", pick(F.coalesce("before", "prior"))).withColumn("after", pick(F.coalesce("after", "next")))
+    near = near.join(ends, "part", "left")
+    none = F.filter(F.array(mate), lambda x: F.lit(False))
+    fill = lambda own, more: F.concat(own, F.slice(F.coalesce(more, none), F.lit(1), F.lit(NEAR) - F.size(own)))
+    all_ = F.concat(fill(F.col("before"), F.col("prior")), fill(F.col("after"), F.col("next")))
+    same = F.filter(all_, lambda x: x["host"] == F.col("host"))
+    return near.withColumn("near", F.transform(same, lambda x: x["marks"]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -289,15 +324,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), r"[?#].*$", "")
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][-+.\w]*://([^/]*)", 1))
     path = F.regexp_replace(F.regexp_replace(bare, r"^[A-Za-z][-+.\w]*://[^/]*", ""), r"(?:/|\.html?)$", "")
-    sig = parsed.select("id", "rowkey", host.alias("host"), path.alias("path"), "marks", "zones").dropDuplicates(["rowkey"])
+    sig = parsed.select("id", "rowkey", host.alias("host"), path.alias("path"), "marks", "sizes", "zones").dropDuplicates(["rowkey"])
 
     @F.pandas_udf("array<int>")
-    def gone(own: pd.Series, zones: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        rows = zip(own, zones, before, after)
-        return pd.Series([deleted(list(o), z, [list(x) for x in (a, b) if x is not None]) for o, z, a, b in rows])
+    def gone(own: pd.Series, zones: pd.Series, sizes: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([deleted(list(o), z, [list(x) for x in others], list(n)) for o, z, n, others in zip(own, zones, sizes, near)])
 
-    cuts = neighbours(sig).select("rowkey", gone("marks", "zones", "before", "after").alias("gone"))
-    joined = parsed.drop("marks").join(cuts, "rowkey", "left")
+    cuts = neighbours(sig).select("rowkey", gone("marks", "zones", "sizes", "near").alias("gone"))
+    joined = parsed.drop("marks", "sizes").join(cuts, "rowkey", "left")
     zone = F.when(F.col("zones").contains("m"), "m").otherwise("o")
     kept = F.filter(
         F.arrays_zip("lines", F.transform(F.sequence(F.lit(0), F.size("lines")), lambda i: i).alias("at")),

@@ -9,7 +9,7 @@ spent, so no source needs one long running sum.
 
 DataFrame functions only. Defined cases: null sources are one source; null and
 empty texts have no tokens and pass once; repeated rows count and pass each on
-its own; an empty table mixes to no rows; input columns named like the added ones
+its own; an empty table mixes to no rows; a text of any length is one row; input columns named like the added ones
 are replaced.
 """
 
@@ -81,8 +81,9 @@ def mix(
 
     ``budget`` tokens in all; by default the least with which every source passes
     whole at least once, so nothing is dropped. A block's last epoch stops at the
-    first document that reaches its budget. Read in the order (mix_epoch,
-    mix_block, mix_pos) the rows are a sequence of block permutations. A document
+    first document that reaches its budget. Read in the order (mix_block, mix_pos) the
+    rows are a sequence of block permutations in which the blocks of all sources and
+    epochs come at random, so that every long stretch has the weights. A document
     without tokens passes once.
     """
     df = df.drop(*ADDED)

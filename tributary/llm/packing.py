@@ -1,13 +1,15 @@
 """Packing token pieces into fixed-length sequences (operator 4).
 
 A document is its ids and one end id. It is cut into whole sequences and one
-rest. Rests are dealt to random groups of documents; inside a group they come in
+rest. Rests are dealt to groups of documents by a hash of id and text; inside a group they come in
 decreasing length, by Spark's sort, and each goes to the first sequence with
 room, found in a tournament tree of the sequences' free space. A task streams
 over its sorted rows and holds one group's tree.
 
 Null texts are empty documents (the end id alone). Repeated rows are packed once
-each. An empty table packs to no rows.
+each. An empty table packs to no rows. Ties of length go by id and place. A text of any
+length is encoded in one task. Of the input's columns only the id and the text are
+read, so the others may have any name.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def token_pieces(df: DataFrame, path: str, seq_len: int, group_docs: int, seed:
     src = df.select(
         F.col(id_col).cast("string").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.floor(F.rand(seed) * groups).cast("long").alias("grp"),
+        F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(groups)).alias("grp"),  # the same again in a task that is run twice
     )
     return src.mapInPandas(batches, PIECES)
 

@@ -13,7 +13,9 @@ and the bands of scripts are not fitted, but fixed and wide.
 
 Defined cases: a null text has no words; texts without words fail the base rules;
 null and unknown languages use the bands of the script that most letters are in;
-repeated rows are judged alike. Row by row: no shuffle.
+repeated rows are judged alike; an empty table gives no rows; a text of any length is
+measured in one task. Of the input's columns only the id, the text, the language and
+those carried are read, so the others may have any name. Row by row: no shuffle.
 """
 
 from __future__ import annotations
