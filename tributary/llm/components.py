@@ -30,3 +30,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after more links (a, b): only the roots that the links join go through the rounds again."""
+    links = cut(links)
+    if links.isEmpty():
+        return roots
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
+    nodes = cut(roots.union(fresh.select("node", F.col("node").alias("root"))))
+    at = lambda x: nodes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    top = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    moved = nodes.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return cut(moved.select("node", F.coalesce("top", "root").alias("root")))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import cut, one_blas_thread, small
-from tributary.llm.components import components
+from tributary.llm.components import components, extended
 from tributary.llm.shingles import mix, shingle_sets
 
 SKETCH = 64
@@ -299,7 +299,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, recall: float = 0.99
     rest = left_over(large, maybe)
     if not rest.isEmpty():
         more = prefix_links(rest, docs, sets, similarity, words)
-        maybe = components(maybe.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        maybe = extended(maybe, more)
     members = reps.join(maybe, F.col("rep") == F.col("node")).select(F.col("rep").alias("id"), "weight", "n", "root")
     sizes = members.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(SHORT))) / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
