@@ -39,20 +39,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASSES, OPEN = 32, 32
 #: Lanes of a training batch, at most, and tokens of a lane, at least; texts that are held at once.
-STREAMS, LANE, SLICE = 256, 256, 1000
+STREAMS, LANE, SLICE = 256, 256, 2000
 
 
 def is_held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 1
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case, all else as it is."""
+    return text.encode().lower().decode()
+
+
 def open_class(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % OPEN
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over the training documents. docs: text (lower case), held_out."""
+    """(word, n) over the training documents. docs: text, held_out."""
     words = docs.where("not held_out").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    ascii_ = F.octet_length("word") == F.char_length("word")
+    words = words.select(F.when(ascii_, F.lower("word")).otherwise(F.translate("word", UPPER, LOWER)).alias("word"))  # translate is slow: only where lower would change more than A-Z
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -79,7 +86,7 @@ def coded(docs: DataFrame, frequent: list[tuple[str, int]], words: int, ends: in
         for pdf in it:
             for lo in range(0, len(pdf), SLICE):
                 part = pdf.iloc[lo : lo + SLICE]
-                split = [_WORD.findall(t) for t in part["text"]]
+                split = [_WORD.findall(lowered(t)) for t in part["text"]]
                 flat = np.empty(sum(map(len, split)), dtype=object)
                 flat[:] = [w for ws in split for w in ws]
                 codes, distinct = pd.factorize(flat)
@@ -153,7 +160,7 @@ def score_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 1024, frequent: int = 65_536, rounds: int = 4, rate: float = 0.01
 ) -> DataFrame:
     """Id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (recurrent model), log10, of every row."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), is_held_out(id_col).alias("held_out"))
     counts = cut(word_counts(docs))
     ends = docs.where("not held_out").count()
@@ -182,10 +189,8 @@ def score_documents(
     def scored(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_blas_thread()
         for pdf in it:
-            for lo in range(0, len(pdf), 4 * SLICE):
-                part = pdf.iloc[lo : lo + 4 * SLICE]
-                got = gru.score(p, vocab, [np.frombuffer(x, dtype=np.uint16) for x in part["ids"]])
-                yield part.drop(columns="ids").assign(model=got / math.log(10))
+            got = gru.score(p, vocab, [np.frombuffer(x, dtype=np.uint16) for x in pdf["ids"]])
+            yield pdf.drop(columns="ids").assign(model=got / math.log(10))
 
     model = base.select("row", "id", "held_out", "n_tokens", "n_frequent", "log_frequent", "log_open", "ids").mapInPandas(
         scored, "row long, id string, held_out boolean, n_tokens long, n_frequent long, log_frequent double, log_open double, model double"
