@@ -107,3 +107,60 @@ def sequence(inserts: DataFrame, removes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "pos", "counter", "replica", "value"])
 
     return whole.mapInPandas(walk, "key string, pos long, counter long, replica long, value string")
+
+
+def register_state(ops: DataFrame) -> DataFrame:
+    """(key, stamp, value): the last write of each register with its stamp."""
+    stamp = F.struct("timestamp_ms", "replica", "commit_id")
+    return ops.groupBy("key").agg(F.max(stamp).alias("stamp"), F.max_by("value", stamp).alias("value"))
+
+
+def merge_registers(*states: DataFrame) -> DataFrame:
+    return union_all(states).groupBy("key").agg(F.max("stamp").alias("stamp"), F.max_by("value", "stamp").alias("value"))
+
+
+def set_state(adds: DataFrame, removes: DataFrame) -> DataFrame:
+    """(lineage, key, element, added, removed): the last add and the last remove of each element in each lineage."""
+    by = ["lineage", "key", "element"]
+    return adds.groupBy(*by).agg(F.max("seq").alias("added")).join(removes.groupBy(*by).agg(F.max("seq").alias("removed")), by, "full")
+
+
+def merge_sets(*states: DataFrame) -> DataFrame:
+    """Later adds and removes of each lineage win: states that share a past merge to their union."""
+    return union_all(states).groupBy("lineage", "key", "element").agg(F.max("added").alias("added"), F.max("removed").alias("removed"))
+
+
+def set_value(state: DataFrame) -> DataFrame:
+    live = state.where(F.col("added").isNotNull() & (F.col("removed").isNull() | (F.col("added") > F.col("removed"))))
+    return live.select("key", "element").distinct().groupBy("key").agg(F.array_sort(F.collect_list("element")).alias("value"))
+
+
+def merge_sequences(*sides: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(inserts, removes) of the union: elements have ids of their own, so each counts once, and a removed one stays removed."""
+    ids = ["key", "counter", "replica"]
+    return union_all([i for i, _ in sides]).dropDuplicates(ids), union_all([r for _, r in sides]).select(*ids).distinct()
+
+
+def union_all(frames) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def same_kind(kinds: DataFrame) -> DataFrame:
+    """Keys whose states are of more than one kind: their merge is refused. kinds: key, kind."""
+    return kinds.groupBy("key").agg(F.count_distinct("kind").alias("kinds")).where("kinds > 1").select("key")
+
+
+def converged(counters: DataFrame | None = None, registers: DataFrame | None = None, sets: DataFrame | None = None, sequences: DataFrame | None = None) -> DataFrame:
+    """(key, kind, value) of all convergent fields, the value as JSON: a number, a value or null, a list. Each frame has key and value; that of sequences key, pos and value."""
+    parts = []
+    for kind, df in (("counter", counters), ("register", registers), ("set", sets)):
+        if df is not None:
+            value = F.to_json("value") if kind == "set" else F.regexp_extract(F.to_json(F.array("value")), r"(?s)^\[(.*)\]$", 1)
+            parts.append(df.select("key", F.lit(kind).alias("kind"), value.alias("value")))
+    if sequences is not None:
+        whole = sequences.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+        parts.append(whole.select("key", F.lit("sequence").alias("kind"), F.to_json(F.transform("v", lambda x: x["value"])).alias("value")))
+    return union_all(parts)

@@ -66,14 +66,14 @@ def chain_forks(log: DataFrame) -> DataFrame:
 def digest_parts(*fields: str) -> list[Column]:
     """Aggregates of a digest of a set of rows in any order, for commits too large to hash in one place: the rows' number and the sums of four parts of their hashes."""
     one = F.sha2(F.unhex(prefixed(F.lit("row"), *map(F.col, fields))), 256)
-    parts = [F.coalesce(F.sum(F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(18,0)")), F.lit(0)) for k in range(4)]
+    parts = [F.coalesce(F.sum(F.conv(F.substring(one, 1 + 14 * k, 14), 16, 10).cast("decimal(18,0)")), F.lit(0)) for k in range(4)]
     return [F.concat_ws("|", F.count("*"), *parts).alias("digest")]
 
 
 def local_digest(rows: list[tuple]) -> str:
     """The same of rows at hand; a missing field counts as empty."""
     hashes = [_hash("row", *("" if v is None else str(v) for v in r)) for r in rows]
-    return "|".join(str(x) for x in (len(rows), *(sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4))))
+    return "|".join(str(x) for x in (len(rows), *(sum(int(h[14 * k : 14 * k + 14], 16) for h in hashes) for k in range(4))))
 
 
 def leaves(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -199,6 +199,26 @@ def sync_conflicts(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return a.where(writes).select("key").distinct().join(b.where(writes).select("key").distinct(), "key", "left_semi")
 
 
+def rebase(log: DataFrame, suffix: DataFrame, *fields: str) -> DataFrame:
+    """A received suffix as entries after the log's head: seq follows on and each entry is chained to the one before it.
+
+    Content hashes stay, so a second sync sends nothing. A chain is sequential by
+    nature; its entries' fields are hashed to content in the scan, and only those
+    hashes go through one fold.
+    """
+    head = log.agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("hash")).first()
+    seq, prev = (-1, ZERO) if head["seq"] is None else head
+    rows = suffix.select("seq", content_hash(*fields).alias("content")).orderBy("seq")
+    out = []
+    for i, r in enumerate(rows.toLocalIterator(), 1):  # hashes only, partition by partition
+        mark = chain_hash(prev, r["content"])
+        out.append((r["seq"], seq + i, prev, mark))
+        prev = mark
+    moved = log.sparkSession.createDataFrame(out, "old_seq long, new_seq long, new_prev string, new_hash string")
+    kept = [c for c in suffix.columns if c not in ("seq", "prev_hash", "entry_hash")]
+    return suffix.join(moved, suffix["seq"] == moved["old_seq"]).select(F.col("new_seq").alias("seq"), *kept, F.col("new_prev").alias("prev_hash"), F.col("new_hash").alias("entry_hash"))
+
+
 def unsigned(entries: DataFrame, signatures: DataFrame) -> DataFrame:
     """Entries without a signature of their own author's session. Checking a signature itself needs a crypto library and is left to the caller."""
     return entries.join(signatures.select("content_hash", F.col("signer").alias("session_id")), ["content_hash", "session_id"], "left_anti")

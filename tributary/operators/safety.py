@@ -175,3 +175,32 @@ def lifecycle(held: DataFrame, decisions: DataFrame, now_ms: int) -> DataFrame:
     ttl = F.when(F.col("gate") == "shadow_validate", SHADOW_TTL_MS).otherwise(PROPOSAL_TTL_MS)
     state = F.when(F.col("gate") == "auto_apply", "applied").when(F.col("decision").isNotNull(), F.col("decision")).when(F.col("proposed_ms") + ttl <= now_ms, "expired").otherwise("pending")
     return held.join(last, "id", "left").withColumn("state", state).drop("decision")
+
+
+def reserve(held: DataFrame, cost: int, scope: str, now_ms: int) -> tuple[bool, int]:
+    """Whether a proposal of this cost still fits in a scope's review budget of a day, and what is used. held: as in ``review_holds``."""
+    used = review_holds(held, now_ms).agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+    return used + cost <= REVIEW_CEILING[scope], used
+
+
+def refused_writes(proposed: DataFrame, current: DataFrame, declared: DataFrame, unique: list[str], kinds: dict[str, Column], policy: Policy | None = None) -> DataFrame:
+    """(key, rule, detail) for each rule that a proposed batch would break: nothing is written while there are rows.
+
+    proposed and current: key and columns. ``kinds`` gives the kind of each declared
+    column's values; ``declared`` is (table, column, type). Types are checked in the
+    scan, uniqueness by one grouping over the rows after the write, the breaker on
+    the batch's number of rows.
+    """
+    from tributary.operators.folds import type_violations
+
+    fields = proposed.select("key", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), k.alias("kind")) for c, k in kinds.items()))))
+    out = type_violations(fields, declared).select("key", F.lit("type").alias("rule"), F.concat_ws(" ", "column", "kind", "type").alias("detail"))
+    if unique:
+        after = current.join(proposed.select("key"), "key", "left_anti").select("key", *unique).withColumn("new", F.lit(False)).unionByName(proposed.select("key", *unique).withColumn("new", F.lit(True)))
+        taken = unique_violations(after.where("new").unionByName(after.where("not new")), unique, "key").select(*unique, F.col("_first").alias("holder"))
+        clash = proposed.join(taken, unique).select("key", F.lit("unique").alias("rule"), F.concat(F.lit("also held by or beside "), "holder").alias("detail"))
+        out = out.unionByName(clash)
+    if policy is not None:
+        n = proposed.agg(F.count("*").alias("n")).where(F.col("n") > policy.ceiling)
+        out = out.unionByName(n.select(F.lit(None).cast("string").alias("key"), F.lit("breaker").alias("rule"), F.format_string("%d rows", "n").alias("detail")))
+    return out

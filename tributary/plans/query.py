@@ -11,8 +11,9 @@ import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from tributary.functions import aggregates as A
 from tributary.functions import predicates as P
 from tributary.functions.aggregates import Aggregate
 from tributary.operators import relational as R
@@ -67,7 +68,12 @@ class Query:
         return replace(self, groups=tuple(group_by), aggregates=aggregates, columns=None, having=having)
 
     def params(self) -> list[Param]:
-        return [t[2] for t in self.terms if isinstance(t, tuple) and isinstance(t[2], Param)]
+        """Parameters of all terms, nested ones included, each name once in the order of its first place."""
+        found: dict[str, Param] = {}
+        for t in self.terms:
+            for p in params_of(t):
+                found.setdefault(p.name, p)
+        return list(found.values())
 
     def run(self, catalog: Catalog, **bindings: Any) -> DataFrame:
         for p in self.params():
@@ -96,17 +102,42 @@ def table(name: str) -> Query:
 OPERATORS = {"eq": P.eq, "ne": P.ne, "lt": P.lt, "lte": P.lte, "gt": P.gt, "gte": P.gte, "in": P.is_in}
 
 
+AGGREGATES = {"count": A.count, "count_of": A.count_of, "sum": A.total, "avg": A.average, "min": A.least, "max": A.greatest}
+COMBINED = {"and": P.all_of, "or": P.any_of, "not": P.not_}
+
+
+def params_of(term) -> list[Param]:
+    if isinstance(term, P.Predicate):
+        return []
+    if term[0] in COMBINED:
+        return [p for t in term[1:] for p in params_of(t)]
+    return [v for v in (term[2] if isinstance(term[2], list | tuple) else [term[2]]) if isinstance(v, Param)]
+
+
 def bound(term, bindings: dict[str, Any]) -> P.Predicate:
-    """A predicate, or (column, operator, value or Param)."""
+    """A predicate, (column, operator, value, Param or list of them), or (and | or | not, term, ...)."""
     if isinstance(term, P.Predicate):
         return term
+    if term[0] in COMBINED:
+        return COMBINED[term[0]](*(bound(t, bindings) for t in term[1:]))
     name, op, value = term
-    return OPERATORS[op](name, bindings[value.name] if isinstance(value, Param) else value)
+
+    def given(v: Any) -> Any:
+        if isinstance(v, Column):
+            raise TypeError(f"{op} on {name} compares with a value, not with a column")
+        return bindings[v.name] if isinstance(v, Param) else v
+
+    return OPERATORS[op](name, [given(v) for v in value] if isinstance(value, list | tuple) else given(value))
 
 
 def from_dict(ast: dict) -> Query:
-    """{table, columns, filter, orderBy, limit, offset}; filter is {op, column, value(s)} or {op: and | or | not, terms}."""
-    names = [ast["table"], *(ast.get("columns") or []), *(o["column"] for o in ast.get("orderBy") or [])]
+    """{table, columns, filter, orderBy, limit, offset, groupBy, aggregates}.
+
+    filter is {op, column, value(s)} or {op: and | or | not, terms}; an aggregate is
+    {fn: count | count_of | sum | avg | min | max, column, as}.
+    """
+    names = [ast["table"], *(ast.get("columns") or []), *(o["column"] for o in ast.get("orderBy") or []), *(ast.get("groupBy") or [])]
+    names += [a[k] for a in ast.get("aggregates") or [] for k in ("column", "as") if a.get(k)]
 
     def predicate(f: dict) -> P.Predicate:
         if f["op"] in ("and", "or"):
@@ -123,4 +154,8 @@ def from_dict(ast: dict) -> Query:
     if (ast.get("limit") or 0) < 0 or (ast.get("offset") or 0) < 0:
         raise ValueError("limit and offset are not negative")
     by = tuple((o["column"], o.get("direction", "asc") == "desc") for o in ast.get("orderBy") or [])
-    return Query(ast["table"], terms, tuple(ast["columns"]) if ast.get("columns") else None, by, ast.get("limit"), ast.get("offset") or 0)
+    query = Query(ast["table"], terms, tuple(ast["columns"]) if ast.get("columns") else None, by, ast.get("limit"), ast.get("offset") or 0)
+    if not ast.get("aggregates") and not ast.get("groupBy"):
+        return query
+    made = [AGGREGATES[a["fn"]](*([a["column"]] if a.get("column") else [])) for a in ast.get("aggregates") or []]
+    return query.aggregate(ast.get("groupBy") or [], *(m.named(a["as"]) if a.get("as") else m for m, a in zip(made, ast.get("aggregates") or [])))

@@ -758,3 +758,60 @@ def crdt_siblings(spark, d):
     key, zero, none = F.col("conv_id").cast("string").alias("key"), F.lit(0).cast("long"), F.lit(None).cast("long")
     inserts = spark.read.parquet(f"{d}/conversations.parquet").select(key, F.col("turn").alias("counter"), zero.alias("replica"), none.alias("after_counter"), none.alias("after_replica"), F.col("text").alias("value"))
     return crdt.sequence(inserts, inserts.select("key", "counter", "replica").where("false")).select("key", "pos", "counter")
+
+
+def _twice(spark, d) -> tuple[DataFrame, DataFrame]:
+    """One history seen by two replicas, one of them cut at its middle."""
+    ops = _crdt_ops(spark, d)
+    low, high = ops.agg(F.min("seq"), F.max("seq")).first()
+    return ops.where(F.col("seq") <= (low + high) // 2), ops
+
+
+@query("SELECT event_type AS key, arg_max(value, ((epoch_us(ts) // 1000), user_id % 3, event_id)) AS value FROM events GROUP BY 1")
+def crdt_register_merge(spark, d):
+    return crdt.merge_registers(*map(crdt.register_state, _twice(spark, d))).select("key", "value")
+
+
+@query(
+    "WITH l AS (SELECT user_id % 3 AS lineage, user_id % 100 AS k, event_type AS e, max(event_id) FILTER (event_id % 4 <> 0) AS a, max(event_id) FILTER (event_id % 4 = 0) AS r FROM events GROUP BY 1, 2, 3) "
+    "SELECT CAST(k AS VARCHAR) AS key, e AS element FROM l WHERE a IS NOT NULL AND (r IS NULL OR a > r) GROUP BY 1, 2"
+)
+def crdt_set_merge(spark, d):
+    def state(ops):
+        rows = ops.select((F.col("user_id") % 3).alias("lineage"), (F.col("user_id") % 100).cast("string").alias("key"), F.col("event_type").alias("element"), "seq")
+        return crdt.set_state(rows.where("seq % 4 <> 0"), rows.where("seq % 4 = 0"))
+
+    return crdt.set_value(crdt.merge_sets(*map(state, _twice(spark, d)))).select("key", F.explode("value").alias("element"))
+
+
+@query(
+    "SELECT event_type AS key, 'counter' AS kind, CAST(CAST(SUM(CAST(FLOOR(value) AS BIGINT)) AS BIGINT) AS VARCHAR) AS value FROM events GROUP BY 1 "
+    "UNION ALL SELECT 'r:' || event_type, 'register', CAST(arg_max(user_id, ((epoch_us(ts) // 1000), user_id % 3, event_id)) AS VARCHAR) FROM events GROUP BY event_type "
+    "UNION ALL SELECT 's:' || CAST(conv_id AS VARCHAR), 'sequence', '[' || string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ']' FROM conversations GROUP BY conv_id"
+)
+def crdt_converged(spark, d):
+    ops = _crdt_ops(spark, d)
+    counters = crdt.counter_value(crdt.counter_state(ops.withColumn("amount", F.col("whole")))).withColumn("value", F.col("value").cast("long"))
+    registers = crdt.register(ops.withColumn("value", F.col("user_id"))).withColumn("key", F.concat(F.lit("r:"), "key"))
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat(F.lit("s:"), "conv_id").alias("key"), F.col("turn").alias("pos"), F.col("turn").alias("value"))
+    return crdt.converged(counters, registers, sequences=turns)
+
+
+@query(
+    "SELECT 'u:' || event_id AS key, 'type' AS rule FROM events WHERE event_id % 2 = 1 AND event_type = 'view' "
+    "UNION ALL SELECT DISTINCT 'u:' || a.event_id, 'unique' FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts = b.ts AND a.event_id <> b.event_id WHERE a.event_id % 2 = 1"
+)
+def refused_writes(spark, d):
+    """Odd events proposed beside even ones: views have text where a number is declared, (user, time) must be unique."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("u:"), "event_id").alias("key"), "user_id", "ts", F.when(F.col("event_type") == "view", "Text").otherwise("Int").alias("kind"), "event_id")
+    declared = spark.createDataFrame([("u", "value", "Int")], "table string, column string, type string")
+    return safety.refused_writes(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), declared, ["user_id", "ts"], {"value": F.col("kind")}).select("key", "rule")
+
+
+@query("SELECT event_type, COUNT(*) AS n, MAX(value) AS top FROM events WHERE value > 10 AND (event_type <> 'purchase' OR user_id < 75) GROUP BY 1")
+def ast_aggregate(spark, d):
+    ast = {
+        "table": "events", "groupBy": ["event_type"], "aggregates": [{"fn": "count", "as": "n"}, {"fn": "max", "column": "value", "as": "top"}],
+        "filter": {"op": "and", "terms": [{"op": "gt", "column": "value", "value": 10}, {"op": "or", "terms": [{"op": "ne", "column": "event_type", "value": "purchase"}, {"op": "lt", "column": "user_id", "value": 75}]}]},
+    }
+    return ran(from_dict(ast), spark, d)

@@ -25,6 +25,10 @@ def follow(spark: SparkSession, root: str, checkpoint: str, deliver: Callable[[D
     log = spark.readStream.schema(LOG).parquet(f"{root}/commits/*")
 
     def batch(rows: DataFrame, number: int) -> None:
+        named = spark.read.text(f"{root}/manifest").select(F.get_json_object("value", "$.seq").cast("long").alias("seq"))
+        unseen = rows.select("seq").distinct().join(named, "seq", "left_anti")
+        if not unseen.isEmpty():  # a commit is written before it is made visible: the batch fails and is tried again
+            raise RuntimeError("a commit of this batch is not in the manifest yet")
         rows = rows.where(F.col("op").isin("put", "delete"))
         empty = spark.createDataFrame([], "key string, value string, version long, seq long")
         before = spark.read.parquet(f"{state}/{number - 1}") if number else empty
