@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 CELL = "struct(0L as n, 0L as k, 0L as h)"
 #: Cells of a subtable, in the published fingerprint and in each table of a retry.
 CELLS = 32
-#: Cells of a subtable in a retry, and digests of both texts for each table of the first and second one.
-RETRY, DEALT = 64, (24, 12)
+#: Digests of both texts for each table of the first and second retry; peeling costs cells times digests, so many small tables cost less than few large ones.
+DEALT = (12, 6)
 #: Peeling steps; each takes one subtable's single digests.
 STEPS = 18
 #: Words of a paragraph on average; characters of a word from which on it is cut inside, and of its pieces on average.
@@ -107,8 +107,8 @@ def dealt(keys: str, bits: str) -> str:
 def again(a: str, b: str, each: int) -> str:
     """SQL of (ok, found) from many small tables, about ``each`` digests to a table."""
     bits = f"cast(greatest(1.0D, ceil(log2((size({a}) + size({b})) / {each}.0D))) as int)"
-    both = let("qa", sketch("q.a", f"{RETRY}L"), let("qb", sketch("q.b", f"{RETRY}L"), subtract("qa", "qb")))
-    one = peel(both, f"{RETRY}L")
+    both = let("qa", sketch("q.a", f"{CELLS}L"), let("qb", sketch("q.b", f"{CELLS}L"), subtract("qa", "qb")))
+    one = peel(both, f"{CELLS}L")
     parts = f"transform(arrays_zip({dealt(a, 'nb')}, {dealt(b, 'nb')}), z -> struct(z['0'] as a, z['1'] as b))"
     done = let("nb", bits, f"transform({parts}, q -> {one})")
     return let("all_", done, "struct(forall(all_, t -> t.ok) as ok, flatten(transform(all_, t -> t.found)) as found)")
