@@ -71,3 +71,12 @@ def test_query_builder(shop):
     for bad in ({"table": "a b"}, {"table": "t", "limit": -1}, {"table": "t", "filter": {"op": "eq", "column": "x;", "value": 1}}):
         with pytest.raises(ValueError):
             from_dict(bad)
+
+
+def test_saturating_sum_of_products_beyond_64_bits(spark, tmp_path):
+    """Keys from 92234 on, whose product alone passes 64 bits; the other sum stays exact inside them."""
+    duckdb.sql(f"copy (select * replace (case when o_orderkey % 3 = 0 then o_orderkey * 100000 when o_orderkey % 3 = 1 then -o_orderkey * 100000 else 0 end as o_orderkey, case o_orderkey % 3 when 0 then 'A' when 1 then 'B' else 'C' end as o_orderstatus) from '{DATA}/orders.parquet') to '{tmp_path}/orders.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = {tuple(r) for r in Q.QUERIES["agg_sum_saturating"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(Q.SQL["agg_sum_saturating"]).fetchall()) == {("A", 2**63 - 1), ("B", -(2**63)), ("C", 0)}

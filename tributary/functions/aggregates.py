@@ -35,12 +35,13 @@ class Aggregate:
 
 
 def saturating_sum(c: Column, kind: T.DataType) -> Column:
-    """Of nothing, zero. Integers sum exactly and saturate at the ends of 64 bits; other types than numbers are skipped."""
+    """Of nothing, zero. Integers, decimals without places among them, sum exactly and saturate at the ends of 64 bits; other types than numbers are skipped."""
     if family(kind) != "number":
         return F.lit(0).cast("long") + F.count(F.lit(None))
-    if isinstance(kind, T.IntegralType):
+    wide = isinstance(kind, T.DecimalType) and kind.scale == 0
+    if wide or isinstance(kind, T.IntegralType):
         low, high = (F.lit(v).cast("decimal(38,0)") for v in (LONG_MIN, LONG_MAX))
-        exact = F.coalesce(F.sum(c.cast(T.DecimalType(19 if isinstance(kind, T.LongType) else 10, 0))), F.lit(0).cast("decimal(38,0)"))
+        exact = F.coalesce(F.sum(c if wide else c.cast(T.DecimalType(19 if isinstance(kind, T.LongType) else 10, 0))), F.lit(0).cast("decimal(38,0)"))
         return F.least(F.greatest(exact, low), high).cast("long")
     return F.coalesce(F.sum(c), F.lit(0).cast(kind if isinstance(kind, T.DoubleType) else "double"))
 

@@ -166,7 +166,8 @@ def agg_having_filter(spark, d):
 
 @query("SELECT o_orderstatus, CAST(LEAST(GREATEST(SUM(CAST(o_orderkey AS HUGEINT) * 100000000000000), -9223372036854775808), 9223372036854775807) AS BIGINT) AS s FROM orders GROUP BY 1")
 def agg_sum_saturating(spark, d):
-    big = keyed(spark, d, "orders").withColumn("v", F.col("o_orderkey") * 100000000000000)
+    # the products pass 64 bits from key 92234 on, as their sum does
+    big = keyed(spark, d, "orders").withColumn("v", F.col("o_orderkey").cast("decimal(19,0)") * F.lit(100000000000000).cast("decimal(15,0)"))
     return R.aggregate(big, ["o_orderstatus"], [A.total("v").named("s")])
 
 
