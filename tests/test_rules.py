@@ -39,6 +39,17 @@ def test_budgets_and_lifecycle(spark):
     assert [(r["spent"], r["over"]) for r in S.rolling_spend(spend, 10, window_ms=100).orderBy("scope", "at_ms").collect()] == [(6, False), (11, True), (10, False), (11, True)]
 
 
+def test_spend_adds_each_row_once_whatever_the_window_holds(spark):
+    rows = [("a", 50 * (i % 40), -3 if i % 7 == 0 else i, i) for i in range(400)] + [("b", 5, None, 900), ("b", 90, 4, 901), ("b", 300, None, 902), ("c", None, 2, 903), ("c", None, 5, 904), ("c", 7, 1, 905)]
+    out = S.rolling_spend(spark.createDataFrame(rows, "scope string, at_ms long, cost long, id long"), 10, window_ms=100)
+    inside = lambda x, r: x[0] == r[0] and (x[1] is r[1] is None or None not in (x[1], r[1]) and r[1] - 100 < x[1] <= r[1])
+    want = {r[3]: (lambda costs: sum(costs) if costs else None)([x[2] for x in rows if inside(x, r) and x[2] is not None]) for r in rows}
+    assert {r["id"]: r["spent"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rangeframe, unboundedpreceding$" in plan and "rangeframe, -99" not in plan  # a sliding frame adds its whole window again for every row
+    fractions = S.rolling_spend(spark.createDataFrame([("a", 0, 1e17), ("a", 200, 0.1)], "scope string, at_ms long, cost double"), 10, window_ms=100)
+    assert {r["spent"] for r in fractions.collect()} == {1e17, 0.1}
+
 def test_claims_and_describe(spark):
     df = spark.createDataFrame([("b", 1, "x"), ("a", None, "y"), ("c", 3, "x")], "_key string, n long, t string")
     assert S.claim(df, F.col("n").isNull()).first()["first_key"] == "a"

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions.values import WIDENS
 
@@ -87,7 +88,8 @@ def rationale() -> Column:
 def in_slices(rows: DataFrame, at: str, width: int) -> DataFrame:
     """Each row in the slice of its time and, with __later = 1, in the next: a window of ``width`` back from any row lies in the row's own slice, whatever the size of its scope."""
     own = F.floor(F.col(at) / width)
-    return rows.select("*", F.posexplode(F.array(own, own + 1)).alias("__later", "__slice"))
+    slices = F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1))  # rows without a time meet once
+    return rows.select("*", F.posexplode(slices).alias("__later", "__slice"))
 
 
 def window_totals(writes: DataFrame, policy: Policy, scope: str, at: str, rows: str, seq: str) -> DataFrame:
@@ -125,9 +127,20 @@ def breaker(writes: DataFrame, policy: Policy, scope: str = "scope", at: str = "
 
 
 def rolling_spend(events: DataFrame, ceiling: int, scope: str = "scope", at: str = "at_ms", cost: str = "cost", window_ms: int = DAY_MS) -> DataFrame:
-    """Adds spent (the scope's cost within the window before and at each event) and over. Review budgets and query spend are both this."""
-    w = Window.partitionBy(scope, "__slice").orderBy(at).rangeBetween(-(window_ms - 1), 0)
-    out = in_slices(events, at, window_ms).withColumn("spent", F.sum(cost).over(w)).where("__later = 0").drop("__later", "__slice")
+    """Adds spent (the scope's cost within the window before and at each event) and over. Review budgets and query spend are both this.
+
+    Whole costs are the total up to an event less the total up to the last one that
+    has left: both frames only grow, so each row is added once, however many share
+    a window. Fractions, which a difference would round, are added window by window.
+    Events without a time count with each other.
+    """
+    w = Window.partitionBy(scope, "__slice").orderBy(at)
+    now, left = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -window_ms)
+    within = lambda f: f.over(now) - F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.coalesce(f.over(left), F.lit(0)))
+    spent = F.sum(cost).over(w.rangeBetween(-(window_ms - 1), 0))
+    if isinstance(events.schema[cost].dataType, T.IntegralType | T.DecimalType):
+        spent = F.when(within(F.count(cost)) > 0, within(F.sum(cost)))
+    out = in_slices(events, at, window_ms).withColumn("spent", spent).where("__later = 0").drop("__later", "__slice")
     return out.withColumn("over", F.col("spent") > ceiling)
 
 
