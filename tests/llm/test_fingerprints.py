@@ -110,3 +110,12 @@ def test_peeling_recovers_or_says_no(spark):
                 assert {(x["n"], x["k"]) for x in r["t"]["found"]} == {(1, k) for k in r["a"]} | {(-1, k) for k in r["b"]}
             else:
                 assert cells == "8L" or len(r["a"]) + len(r["b"]) > 40
+
+
+def test_retries_recover_all_differences(spark):
+    """Pairs of up to 900 differing digests, which the base sketch cannot hold: each table peels or is tried again, and the digests are those of the texts."""
+    rows = spark.range(1200).selectExpr("id", "sort_array(transform(sequence(0, id % 451), x -> xxhash64(id, x))) as a", "sort_array(transform(sequence(id % 7, 450), x -> if(x < id % 451 and id % 5 = 0, xxhash64(id, x), xxhash64(x)))) as b")
+    df = rows.select("*", *(F.expr(P.sketch(k, f"{P.CELLS}L")).alias(s) for k, s in (("a", "sa"), ("b", "sb")))).localCheckpoint()
+    for r in P.compared(df, "a", "b", "sa", "sb", "d").select("a", "b", "d").collect():
+        a, b = set(r["a"]), set(r["b"])
+        assert r["d"]["ok"] and {(x["n"], x["k"]) for x in r["d"]["found"]} == {(1, k) for k in a - b} | {(-1, k) for k in b - a}

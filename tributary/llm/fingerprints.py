@@ -9,8 +9,9 @@ subtables; a cell holds the number of its digests and the exclusive-or of them a
 of their check hashes. Two sketches subtract cell by cell, common paragraphs cancel,
 and peeling takes cells that hold one digest until none are left, which recovers
 the differing digests with their sides. Where peeling stops early, both texts are
-sketched again in more cells: their digests are dealt by value to as many tables as
-their number asks for, each is peeled by itself, and a second try uses fresh hashes. Likeness is the Dice coefficient of the paragraph
+sketched again in more cells: their digests are dealt by value to as many small tables
+as their number asks for, each is peeled by itself, and one that does not peel is tried
+again with other and more cells. Likeness is the Dice coefficient of the paragraph
 sets that the recovered differences imply.
 
 DataFrame functions only; no Python runs on the rows. Defined cases: null and empty
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 CELL = "struct(0L as n, 0L as k, 0L as h)"
 #: Cells of a subtable, in the published fingerprint and in each table of a retry.
 CELLS = 32
-#: Digests of both texts for each table of the first and second retry; peeling costs cells times digests, so many small tables cost less than few large ones.
-DEALT = (12, 6)
+#: Digests of both texts for each table of a retry, at most on average, and the cells of a subtable and the peeling steps of its tries. A table costs cells times digests, so small ones with few cells cost least.
+DEALT, TABLES = 6, ((8, 12), (16, 18), (32, 18))
 #: Peeling steps; each takes one subtable's single digests.
 STEPS = 18
 #: Words of a paragraph on average; characters of a word from which on it is cut inside, and of its pieces on average.
@@ -57,9 +58,10 @@ def with_paragraphs(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     return df.withColumns({out: F.expr(digests(text)) for text, out in texts.items()})
 
 
-def placed(digests: str, cells: str) -> str:
-    """SQL that adds to each digest (n, k, h) its cell in each subtable."""
-    at = ", ".join(f"shiftrightunsigned(d.k, {20 * t}) & ({cells} - 1) as p{t}" for t in range(3))
+def placed(digests: str, cells: str, salt: int = 0) -> str:
+    """SQL that adds to each digest (n, k, h) its cell in each subtable; a salt gives other cells."""
+    bits = f"xxhash64({salt}, d.k)" if salt else "d.k"
+    at = ", ".join(f"shiftrightunsigned({bits}, {20 * t}) & ({cells} - 1) as p{t}" for t in range(3))
     return f"transform({digests}, d -> struct(d.n as n, d.k as k, d.h as h, {at}))"
 
 
@@ -68,10 +70,20 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def signed(keys: str, n: int = 1) -> str:
+    """SQL of digests as (n, k, h)."""
+    return f"transform({keys}, k -> struct({n}L as n, k as k, xxhash64(k) as h))"
+
+
+def filled(digests: str, cells: str, salt: int = 0) -> str:
+    """SQL of the cells t0, t1, t2 of an array of (n, k, h); those with opposite signs cancel, so that of two texts' digests their difference is left."""
+    table = lambda t: f"transform(sequence(0L, {cells} - 1), j -> aggregate(filter(ks, x -> x.p{t} = j), {CELL}, (a, x) -> struct(a.n + x.n as n, a.k ^ x.k as k, a.h ^ x.h as h)))"
+    return let("ks", placed(digests, cells, salt), f"struct({', '.join(f'{table(t)} as t{t}' for t in range(3))})")
+
+
 def sketch(keys: str, cells: str) -> str:
-    """SQL of the sketch of an array of digests: three arrays of cells t0, t1, t2."""
-    table = lambda t: f"transform(sequence(0L, {cells} - 1), j -> aggregate(filter(ks, x -> x.p{t} = j), {CELL}, (a, x) -> struct(a.n + 1L as n, a.k ^ x.k as k, a.h ^ x.h as h)))"
-    return let("ks", placed(f"transform({keys}, k -> struct(1L as n, k as k, xxhash64(k) as h))", cells), f"struct({', '.join(f'{table(t)} as t{t}' for t in range(3))})")
+    """SQL of the sketch of an array of digests."""
+    return filled(signed(keys), cells)
 
 
 def subtract(a: str, b: str) -> str:
@@ -79,14 +91,14 @@ def subtract(a: str, b: str) -> str:
     return f"struct({', '.join(map(one, range(3)))})"
 
 
-def peel(difference: str, cells: str) -> str:
+def peel(difference: str, cells: str, salt: int = 0, steps: int = STEPS) -> str:
     """SQL of (ok, found): found are the recovered digests k with n = 1 (first text only) or -1 (second)."""
     single = "filter(case i % 3 when 0 then s.t0 when 1 then s.t1 else s.t2 end, c -> abs(c.n) = 1 and xxhash64(c.k) = c.h)"
     less = lambda t: f"transform(s.t{t}, (c, j) -> aggregate(filter(ps, p -> p.p{t} = j), c, (a, p) -> struct(a.n - p.n as n, a.k ^ p.k as k, a.h ^ p.h as h))) as t{t}"
     after = f"if(size(ps) = 0, s, struct({', '.join(map(less, range(3)))}, concat(s.found, transform(ps, p -> struct(p.n as n, p.k as k))) as found))"
     none = "filter(array(struct(0L as n, 0L as k)), c -> false)"
     start = let("d", difference, f"struct(d.t0 as t0, d.t1 as t1, d.t2 as t2, {none} as found)")
-    done = f"aggregate(sequence(0, {STEPS - 1}), {start}, (s, i) -> {let('ps', placed(single, cells), after)})"
+    done = f"aggregate(sequence(0, {steps - 1}), {start}, (s, i) -> {let('ps', placed(single, cells, salt), after)})"
     return let("s", done, "struct(forall(s.t0, c -> c.n = 0 and c.k = 0 and c.h = 0) as ok, s.found as found)")
 
 
@@ -104,11 +116,14 @@ def dealt(keys: str, bits: str) -> str:
     return let("st", f"concat({starts}, array(size({keys})))", f"transform(sequence(0, size(st) - 2), g -> slice({keys}, st[g] + 1, st[g + 1] - st[g]))")
 
 
-def again(a: str, b: str, each: int) -> str:
-    """SQL of (ok, found) from many small tables, about ``each`` digests to a table."""
-    bits = f"cast(greatest(1.0D, ceil(log2((size({a}) + size({b})) / {each}.0D))) as int)"
-    both = let("qa", sketch("q.a", f"{CELLS}L"), let("qb", sketch("q.b", f"{CELLS}L"), subtract("qa", "qb")))
-    one = peel(both, f"{CELLS}L")
+def again(a: str, b: str) -> str:
+    """SQL of (ok, found) of sorted digest arrays from many small tables; one that does not peel is tried again by itself, with other and more cells."""
+    bits = f"cast(greatest(1.0D, ceil(log2((size({a}) + size({b})) / {DEALT}.0D))) as int)"
+    own = f"concat({signed('q.a')}, {signed('q.b', -1)})"
+    tries = [peel(filled(own, f"{cells}L", salt), f"{cells}L", salt, steps) for salt, (cells, steps) in enumerate(TABLES)]
+    one = tries.pop()
+    for i, t in reversed(list(enumerate(tries))):
+        one = let(f"try{i}", t, f"if(try{i}.ok, try{i}, {one})")
     parts = f"transform(arrays_zip({dealt(a, 'nb')}, {dealt(b, 'nb')}), z -> struct(z['0'] as a, z['1'] as b))"
     done = let("nb", bits, f"transform({parts}, q -> {one})")
     return let("all_", done, "struct(forall(all_, t -> t.ok) as ok, flatten(transform(all_, t -> t.found)) as found)")
@@ -116,16 +131,12 @@ def again(a: str, b: str, each: int) -> str:
 
 def compared(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
     """Adds ``out``: (ok, found) for the sorted digest arrays a and b, whose base sketches are at hand."""
-    df = df.withColumn("__t0", F.expr(peel(subtract(sketch_a, sketch_b), f"{CELLS}L")))
-    fresh = lambda k: f"sort_array(transform({k}, k -> xxhash64(1, k)))"
-    tries = [again(a, b, DEALT[0]), let("fa", fresh(a), let("fb", fresh(b), again("fa", "fb", DEALT[1])))]
-    for i, larger in enumerate(tries, 1):
-        df = df.withColumn(f"__t{i}", F.expr(f"case when __t{i - 1}.ok then __t{i - 1} else {larger} end"))
-    return df.withColumn(out, F.col(f"__t{len(tries)}")).drop(*(f"__t{i}" for i in range(len(tries) + 1)))
+    df = df.withColumn("__base", F.expr(peel(subtract(sketch_a, sketch_b), f"{CELLS}L")))
+    return df.withColumn(out, F.expr(f"case when __base.ok then __base else {again(a, b)} end")).drop("__base")
 
 
 def differing(diff: str, a: str, b: str) -> Column:
-    """Number of digests in one text only; a pair that no retry could peel (two digests in the same cells each time) is settled by the digests themselves."""
+    """Number of digests in one text only; a pair with a table that no try could peel (two digests in the same cells each time) is settled by the digests themselves."""
     return F.expr(f"cast(if({diff}.ok, size({diff}.found), size(array_except({a}, {b})) + size(array_except({b}, {a}))) as bigint)")
 
 
