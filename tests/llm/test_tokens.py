@@ -39,6 +39,29 @@ def test_every_prefix_count_equals_encoding_it_again():
             assert table.longest(limit) == max(k for k, n in enumerate(counts) if n <= limit)
 
 
+@pytest.mark.parametrize(("known", "chars"), [(800_000, 16_000_000), (40, 16_000_000), (800_000, 60)])
+def test_words_answer_as_the_whole_table(monkeypatch, known, chars):
+    monkeypatch.setattr(token_counts, "KNOWN", known)
+    monkeypatch.setattr(token_counts, "KNOWN_CHARS", chars)
+    monkeypatch.setattr(token_counts, "SLICE", 50)
+    bpe = byte_bpe(PATH)
+    plain = [a for a in ALPHABET if a.isprintable() and a.strip() and a[0] != "<" or a in (" ", "\n", "\x1c", "\x00")]
+    rng = random.Random(8)
+    some = texts(300, 9) + ["".join(rng.choice(plain) for _ in range(rng.randrange(25))) for _ in range(600)] + ["", " ", "\n", " a", "\na", "a " + "x" * 100]
+    tables = [token_counts.PrefixTable(bpe, t) for t in some]
+    for limit in (0, 1, 3, 7):
+        words = token_counts.Words(bpe)
+        assert words.answers(some, limit).tolist() == [[t.n_tokens, t.longest(limit)] for t in tables]
+    assert sum(words.split(t) is not None for t in some) > 300
+
+
+def test_the_programme_goes_on_from_shared_bytes():
+    bpe = byte_bpe(PATH)
+    pieces = sorted({" " + "".join(x) for x in zip("tesé漢" * 40, "ringa" * 40, "ostal" * 40, "nerv" * 50)} | {"'s", " te", " test", "1234567", "漢字"}, key=str.encode)
+    for piece, counts in zip(pieces, token_counts.ordered_counts(bpe, [p.encode() for p in pieces])):
+        assert counts == [len(bpe.ids(piece[: k + 1])) for k in range(len(piece))]
+
+
 def test_a_megabyte_without_white_space_is_linear():
     bpe = byte_bpe(PATH)
     rng = random.Random(6)

@@ -58,6 +58,10 @@ class ByteBpe:
         core = self._full if _DOUBLE.search(text) else self._simple
         return bytes(core.encode_to_tiktoken_buffer(text, self.special))
 
+    def merges(self, raw: bytes) -> list[int]:
+        """What the merge loop leaves of raw bytes, which need not be whole characters."""
+        return self._full.encode_single_piece(raw)
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.buffer(text), dtype="<u4")
 
