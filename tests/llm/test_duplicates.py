@@ -188,3 +188,22 @@ def test_dropping_lines(spark):
     rows = [(1, "keep this line of words\nshort", "x"), (2, "keep this line of words\nanother line of some words\nshort", "y"), (3, "keep this line of words", "z"), (4, None, "n"), (5, "", "e")]
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, line_no string")).collect()}
     assert out == {1: rows[0][1], 2: "another line of some words\nshort", 4: None, 5: ""}
+
+
+def pairs_at(sets, similarity):
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+
+
+def test_texts_that_are_proved_apart_make_no_pair(spark):
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(120):  # most pairs are about 0.7 alike
+        own = list(base)
+        for at in rng.sample(range(200), 3 if i % 30 else 1):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sketches = docs.select("id", F.lit(bytearray(2 * jaccard_join.SKETCH)).alias("sketch"))  # all alike: they drop no pair
+    got = {tuple(sorted(r)) for r in jaccard_join.prefix_links(docs.select("id", F.col("id").alias("root")), docs, sketches, 0.8, 5).collect()}
+    true = pairs_at({i: set(s.tolist()) for (i, _), s in zip(rows, shingle_sets([t for _, t in rows]))}, 0.8)
+    assert 50 < len(true) and true <= got and len(got) <= 2 * len(true) < 0.3 * 120 * 119 / 2

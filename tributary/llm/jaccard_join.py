@@ -28,8 +28,10 @@ others may have any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ DEPTH = 4
 HOT_SHARE, HOT_LEAST, HOT_MOST = 4, 3, 500_000
 #: How far below the threshold a sketch may fall: three standard deviations of SKETCH values.
 SLACK = 0.15
+#: Columns of a set's parities, a power of two in number, 64 bits each.
+PARITY = [f"x{k}" for k in range(8)]
 PLACES = np.arange(SKETCH, dtype=np.uint64) << np.uint64(16)
 _FACTORS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -61,6 +65,12 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 bits for each name in PARITY: whether the shingles of one remainder are odd in number. Two sets differ in no fewer shingles than their parities in bits."""
+    odd = np.bincount((shingles & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def chosen(shingles: np.ndarray, path: int, similarity: float) -> np.ndarray:
     """Keys of the children that a set takes at a node of the tree."""
     h = mix(shingles ^ np.uint64(path))
@@ -160,6 +170,7 @@ def prefix_links(rest: DataFrame, docs: DataFrame, sketches: DataFrame, similari
     share one of the first n - ceil(s n) + 1 of the longer and of the first
     n - ceil(2 s n / (1 + s)) + 1 of the shorter. Texts that have only a common
     passage do not meet: the prefix of the shorter ends before the passage begins.
+    Nor do texts whose parities prove them less similar, so that few pairs become rows.
     """
     texts = docs.join(rest, "id")
 
@@ -179,19 +190,23 @@ def prefix_links(rest: DataFrame, docs: DataFrame, sketches: DataFrame, similari
         for pdf in it:
             out = []
             for doc, root, s in zip(pdf["id"], pdf["root"], shingle_sets(list(pdf["text"]), words)):
+                odd = dict(zip(PARITY, parities(s)))
                 s, n = s.view(np.int64), len(s)
                 at = np.minimum(np.searchsorted(hot_sh, s), max(len(hot_sh) - 1, 0))
                 freq = np.where(hot_sh[at] == s, hot_n[at], 0) if len(hot_sh) else np.zeros(n, np.int64)
                 order = np.lexsort((s, freq))
                 probe = n - math.ceil(similarity * n - 1e-9) + 1
                 index = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
-                out.append(pd.DataFrame({"sh": s[order[:probe]], "id": doc, "root": root, "n": n, "indexed": np.arange(probe) < index}))
-            yield pd.concat(out) if out else pd.DataFrame({"sh": [], "id": [], "root": [], "n": [], "indexed": []})
-
-    held = cut(texts.select("id", "root", "text").mapInPandas(prefixes, "sh long, id long, root long, n long, indexed boolean"))
-    other = held.where("indexed").select("sh", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    longer = (F.col("n") >= F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n") - 1e-9) & (F.col("root") != F.col("root_b"))
-    pairs = held.join(other, "sh").where(longer).select(F.col("id").alias("a"), "b").distinct()
+                out.append(pd.DataFrame({"sh": s[order[:probe]], "id": doc, "root": root, "n": n, "indexed": np.arange(probe) < index, **odd}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["sh", "id", "root", "n", "indexed", *PARITY])
+
+    held = cut(texts.select("id", "root", "text").mapInPandas(prefixes, f"sh long, id long, root long, n long, indexed boolean, {', '.join(f'{x} long' for x in PARITY)}"))
+    other = held.where("indexed").select("sh", F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("root", "n", *PARITY)))
+    differ = functools.reduce(operator.add, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_b"))) for x in PARITY))
+    longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") > F.col("b")))  # of sets of one size either may count as the longer
+    fits = longer & (F.col("n_b") >= similarity * F.col("n") - 1e-9) & (F.col("root") != F.col("root_b"))
+    fits &= differ <= (F.col("n") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = held.join(other, "sh").where(fits).select(F.col("id").alias("a"), "b").distinct()
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
