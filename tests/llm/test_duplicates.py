@@ -194,6 +194,24 @@ def pairs_at(sets, similarity):
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
 
 
+def test_lines_of_a_large_bucket_that_are_proved_apart_make_no_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base = rng.sample(range(-(1 << 31), 1 << 31), 80)
+    sets = {}
+    for key in range(150):  # most pairs are about 0.7 alike
+        own = list(base)
+        for at in rng.sample(range(80), 6 if key % 30 else 1):
+            own[at] = rng.randrange(-(1 << 31), 1 << 31)
+        sets[key] = set(own)
+    rows = spark.createDataFrame([(k, len(s), sorted(s)) for k, s in sets.items()], "key long, n int, sh array<int>")
+    large, roots = spark.range(150).select(F.lit(1).alias("band"), F.col("id").alias("key")), spark.createDataFrame([], "node long, root long")
+    true = pairs_at(sets, 0.8)
+    assert {tuple(sorted(r)) for r in line_dedup.apart(large, roots, rows, 0.8).collect()} == true
+    monkeypatch.setattr(line_dedup, "holding", lambda pairs, *_: pairs)
+    handed = line_dedup.apart(large, roots, rows, 0.8).count()
+    assert 100 < len(true) <= handed <= 2 * len(true) < 0.3 * 150 * 149 / 2
+
+
 def test_texts_that_are_proved_apart_make_no_pair(spark):
     rng = random.Random(12)
     base, rows = [f"w{i}" for i in range(200)], []
