@@ -119,3 +119,27 @@ def test_retries_recover_all_differences(spark):
     for r in P.compared(df, "a", "b", "sa", "sb", "d").select("a", "b", "d").collect():
         a, b = set(r["a"]), set(r["b"])
         assert r["d"]["ok"] and {(x["n"], x["k"]) for x in r["d"]["found"]} == {(1, k) for k in a - b} | {(-1, k) for k in b - a}
+
+
+def test_cells_and_peeling_equal_brute_force(spark):
+    """Cells dealt to in two steps hold what lies there; all single digests of a round go, those in several subtables once."""
+    rng = random.Random(8)
+    keys = [signed(rng.getrandbits(64)) for _ in range(60)]
+    df = spark.createDataFrame([(keys[:40], keys[20:])], "a array<long>, b array<long>")
+    row = df.selectExpr(f"{P.sketch('a', '32L')} as s", f"{P.peel(P.subtract(P.sketch('a', '32L'), P.sketch('b', '32L')), '32L')} as p", f"{P.peel(P.filled(P.signed('a'), '4L', 1), '4L', 1)} as full").first()
+    for t in range(3):
+        cells = [[0, 0, 0] for _ in range(32)]
+        for k in keys[:40]:
+            c = cells[(k >> 20 * t) & 31]
+            c[0], c[1], c[2] = c[0] + 1, c[1] ^ k, c[2] ^ signed(xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), seed=42))
+        assert [list(c) for c in row["s"][f"t{t}"]] == cells
+    assert row["p"]["ok"] and sorted(map(tuple, row["p"]["found"])) == sorted([(1, k) for k in keys[:20]] + [(-1, k) for k in keys[40:]])
+    assert not row["full"]["ok"]  # 40 digests in 12 cells
+
+
+def test_peeling_goes_on_while_it_finds_digests(spark):
+    """72 digests whose peeling needs more than 18 steps of one subtable each."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([([signed(rng.getrandbits(64)) for _ in range(72)],)], "a array<long>")
+    row = df.selectExpr("a", f"{P.peel(P.sketch('a', '32L'), '32L')} as p").first()
+    assert row["p"]["ok"] and sorted(x["k"] for x in row["p"]["found"]) == sorted(row["a"])

@@ -31,12 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = "struct(0L as n, 0L as k, 0L as h)"
+NONE = "filter(array(struct(0L as n, 0L as k)), c -> false)"
 #: Cells of a subtable, in the published fingerprint and in each table of a retry.
 CELLS = 32
-#: Digests of both texts for each table of a retry, at most on average, and the cells of a subtable and the peeling steps of its tries. A table costs cells times digests, so small ones with few cells cost least.
-DEALT, TABLES = 6, ((8, 12), (16, 18), (32, 18))
-#: Peeling steps; each takes one subtable's single digests.
-STEPS = 18
+#: Digests of both texts for each table of a retry, at most on average, and the cells of a subtable in its tries. A table costs something for each cell and for cells times digests; of 6, 12 and 16 digests, 12 cost least.
+DEALT, TABLES = 12, (8, 16, 32)
+#: Peeling rounds, at most; each takes all single digests, and none is made after one that finds none.
+ROUNDS = 24
+#: Cells that a digest is compared with at a time; more are dealt to in two steps.
+SPAN = 8
 #: Words of a paragraph on average; characters of a word from which on it is cut inside, and of its pieces on average.
 WORDS, LONG, CHARS = 8, 64, 48
 #: Blocks of documents, at most, that meet their next ones, and documents in one.
@@ -61,7 +64,7 @@ def with_paragraphs(df: DataFrame, texts: dict[str, str]) -> DataFrame:
 def placed(digests: str, cells: str, salt: int = 0) -> str:
     """SQL that adds to each digest (n, k, h) its cell in each subtable; a salt gives other cells."""
     bits = f"xxhash64({salt}, d.k)" if salt else "d.k"
-    at = ", ".join(f"shiftrightunsigned({bits}, {20 * t}) & ({cells} - 1) as p{t}" for t in range(3))
+    at = ", ".join(f"cast(shiftrightunsigned({bits}, {20 * t}) & ({cells} - 1) as int) as p{t}" for t in range(3))
     return f"transform({digests}, d -> struct(d.n as n, d.k as k, d.h as h, {at}))"
 
 
@@ -75,10 +78,22 @@ def signed(keys: str, n: int = 1) -> str:
     return f"transform({keys}, k -> struct({n}L as n, k as k, xxhash64(k) as h))"
 
 
+def with_placed(ps: str, t: int, cells: str, old: str, sign: str) -> str:
+    """SQL of subtable t after the placed digests ps are added (sign: +) or taken out (-); old: SQL of its cells before, or nothing."""
+    n = int(cells.rstrip("L"))
+    span = min(n, SPAN)
+    cell = f"{old}[j]" if old else CELL
+    one = lambda ms, lo: f"transform(sequence({lo}, {lo} + {span - 1}), j -> aggregate(filter({ms}, x -> x.p{t} = j), {cell}, (a, x) -> struct(a.n {sign} x.n as n, a.k ^ x.k as k, a.h ^ x.h as h)))"
+    if span == n:
+        return one(ps, "0")
+    none = f"slice({old}, {span} * g + 1, {span})" if old else f"array_repeat({CELL}, {span})"
+    part = let("ms", f"filter({ps}, x -> shiftright(x.p{t}, {span.bit_length() - 1}) = g)", f"if(size(ms) = 0, {none}, {one('ms', f'{span} * g')})")
+    return f"flatten(transform(sequence(0, {n // span - 1}), g -> {part}))"
+
+
 def filled(digests: str, cells: str, salt: int = 0) -> str:
     """SQL of the cells t0, t1, t2 of an array of (n, k, h); those with opposite signs cancel, so that of two texts' digests their difference is left."""
-    table = lambda t: f"transform(sequence(0L, {cells} - 1), j -> aggregate(filter(ks, x -> x.p{t} = j), {CELL}, (a, x) -> struct(a.n + x.n as n, a.k ^ x.k as k, a.h ^ x.h as h)))"
-    return let("ks", placed(digests, cells, salt), f"struct({', '.join(f'{table(t)} as t{t}' for t in range(3))})")
+    return let("ks", placed(digests, cells, salt), f"struct({', '.join(f'{with_placed("ks", t, cells, "", "+")} as t{t}' for t in range(3))})")
 
 
 def sketch(keys: str, cells: str) -> str:
@@ -91,14 +106,13 @@ def subtract(a: str, b: str) -> str:
     return f"struct({', '.join(map(one, range(3)))})"
 
 
-def peel(difference: str, cells: str, salt: int = 0, steps: int = STEPS) -> str:
+def peel(difference: str, cells: str, salt: int = 0) -> str:
     """SQL of (ok, found): found are the recovered digests k with n = 1 (first text only) or -1 (second)."""
-    single = "filter(case i % 3 when 0 then s.t0 when 1 then s.t1 else s.t2 end, c -> abs(c.n) = 1 and xxhash64(c.k) = c.h)"
-    less = lambda t: f"transform(s.t{t}, (c, j) -> aggregate(filter(ps, p -> p.p{t} = j), c, (a, p) -> struct(a.n - p.n as n, a.k ^ p.k as k, a.h ^ p.h as h))) as t{t}"
-    after = f"if(size(ps) = 0, s, struct({', '.join(map(less, range(3)))}, concat(s.found, transform(ps, p -> struct(p.n as n, p.k as k))) as found))"
-    none = "filter(array(struct(0L as n, 0L as k)), c -> false)"
-    start = let("d", difference, f"struct(d.t0 as t0, d.t1 as t1, d.t2 as t2, {none} as found)")
-    done = f"aggregate(sequence(0, {steps - 1}), {start}, (s, i) -> {let('ps', placed(single, cells, salt), after)})"
+    single = "array_distinct(filter(concat(s.t0, s.t1, s.t2), c -> abs(c.n) = 1 and xxhash64(c.k) = c.h))"
+    left = ", ".join(f"{with_placed('ps', t, cells, f's.t{t}', '-')} as t{t}" for t in range(3))
+    after = f"if(size(ps) = 0, struct(s.t0 as t0, s.t1 as t1, s.t2 as t2, s.found as found, false as more), struct({left}, concat(s.found, transform(ps, p -> struct(p.n as n, p.k as k))) as found, true as more))"
+    start = let("d", difference, f"struct(d.t0 as t0, d.t1 as t1, d.t2 as t2, {NONE} as found, true as more)")
+    done = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if(s.more, {let('ps', placed(single, cells, salt), after)}, s))"
     return let("s", done, "struct(forall(s.t0, c -> c.n = 0 and c.k = 0 and c.h = 0) as ok, s.found as found)")
 
 
@@ -120,12 +134,12 @@ def again(a: str, b: str) -> str:
     """SQL of (ok, found) of sorted digest arrays from many small tables; one that does not peel is tried again by itself, with other and more cells."""
     bits = f"cast(greatest(1.0D, ceil(log2((size({a}) + size({b})) / {DEALT}.0D))) as int)"
     own = f"concat({signed('q.a')}, {signed('q.b', -1)})"
-    tries = [peel(filled(own, f"{cells}L", salt), f"{cells}L", salt, steps) for salt, (cells, steps) in enumerate(TABLES)]
+    tries = [peel(filled(own, f"{cells}L", salt), f"{cells}L", salt) for salt, cells in enumerate(TABLES)]
     one = tries.pop()
     for i, t in reversed(list(enumerate(tries))):
         one = let(f"try{i}", t, f"if(try{i}.ok, try{i}, {one})")
     parts = f"transform(arrays_zip({dealt(a, 'nb')}, {dealt(b, 'nb')}), z -> struct(z['0'] as a, z['1'] as b))"
-    done = let("nb", bits, f"transform({parts}, q -> {one})")
+    done = let("nb", bits, f"transform({parts}, q -> if(size(q.a) + size(q.b) = 0, struct(true as ok, {NONE} as found), {one}))")
     return let("all_", done, "struct(forall(all_, t -> t.ok) as ok, flatten(transform(all_, t -> t.found)) as found)")
 
 
